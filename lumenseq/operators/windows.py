@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenseq.operators.layout import HotKeys, Running, hot_keys, scan
+from lumenseq.operators.layout import HotKeys, Running, hot_keys, order_columns, scan
 
 
 def with_previous(df: DataFrame, columns: dict[str, Column], hot: HotKeys | None = None,
@@ -16,17 +16,18 @@ def with_previous(df: DataFrame, columns: dict[str, Column], hot: HotKeys | None
 
 
 def _run_starts(df: DataFrame, bundle: str, physical: bool, hot: HotKeys | None,
-                key: list[str], order: str) -> DataFrame:
-    previous = F.struct(F.col(bundle).alias("b"), F.col(order).alias("s"))
+                key: list[str], order: str | list[str]) -> DataFrame:
+    at = F.col(order_columns(order)[0])
+    previous = F.struct(F.col(bundle).alias("b"), at.alias("s"))
     seen = scan(df, key, order, [Running("_prev", "last", previous)], hot)
     cut = F.col("_prev").isNull() | ~F.col("_prev.b").eqNullSafe(F.col(bundle))
     if physical:
-        cut = cut | (F.col(order) != F.col("_prev.s") + 1)
+        cut = cut | (at != F.col("_prev.s") + 1)
     return seen.withColumn("run_start", cut.cast("long")).drop("_prev")
 
 
 def runs(df: DataFrame, bundle: str = "bundle_id", physical: bool = False,
-         hot: HotKeys | None = None, key: list[str] | None = None, order: str = "seq") -> DataFrame:
+         hot: HotKeys | None = None, key: list[str] | None = None, order: str | list[str] = "seq") -> DataFrame:
     """Append run columns to rows.
 
     ``run`` counts runs inside the key from 0, ``run_start`` marks first rows,
@@ -42,7 +43,8 @@ def runs(df: DataFrame, bundle: str = "bundle_id", physical: bool = False,
         [Running("_run", "sum", F.col("run_start"), inclusive=True), Running("row_in_key", "count")],
         hot,
     )
-    first = F.when(F.col("run_start") == 1, F.struct(F.col("row_in_key").alias("i"), F.col(order).alias("s")))
+    at = F.col(order_columns(order)[0])
+    first = F.when(F.col("run_start") == 1, F.struct(F.col("row_in_key").alias("i"), at.alias("s")))
     anchored = scan(indexed, key, order, [Running("_first", "last", first, inclusive=True)], hot)
     return anchored.select(
         *df.columns,
