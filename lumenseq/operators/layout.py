@@ -227,7 +227,7 @@ def densify(df: DataFrame, order: str = "seq") -> DataFrame:
 def range_layout(df: DataFrame, keys: Sequence[Column | str]) -> tuple[DataFrame, DataFrame]:
     """Range-partition and sort by a total order; return rows and partition sizes.
 
-    The rows gain ``_part`` and ``_pos``. The layout is written to the
+    The rows gain ``_at_part`` and ``_at_pos``. The layout is written to the
     checkpoint folder once, so both results describe the same partitions.
     """
     laid = cut_lineage(
@@ -237,21 +237,21 @@ def range_layout(df: DataFrame, keys: Sequence[Column | str]) -> tuple[DataFrame
     )
     laid = laid.select(
         *[c for c in laid.columns if c != "_id"],
-        F.shiftright("_id", 33).alias("_part"),
-        F.col("_id").bitwiseAND((1 << 33) - 1).alias("_pos"),
+        F.shiftright("_id", 33).alias("_at_part"),
+        F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at_pos"),
     )
-    return laid, laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    return laid, laid.groupBy("_at_part").agg(F.count(F.lit(1)).alias("_rows"))
 
 
 def ordinal(df: DataFrame, keys: Sequence[Column | str], name: str = "seq") -> DataFrame:
     """Dense 0-based index in the total order of ``keys`` (which must be unique)."""
     laid, sizes = range_layout(df, keys)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_at_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per physical partition, so this window and broadcast stay tiny.
-    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
-    out = laid.join(F.broadcast(offsets), "_part")
+    offsets = sizes.select("_at_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
+    out = laid.join(F.broadcast(offsets), "_at_part")
     kept = [F.col(c) for c in df.columns if c != name]
-    return out.select(*kept, (F.col("_off") + F.col("_pos")).alias(name))
+    return out.select(*kept, (F.col("_off") + F.col("_at_pos")).alias(name))
 
 
 def range_prefix(
@@ -259,14 +259,14 @@ def range_prefix(
 ) -> DataFrame:
     """Exclusive running sums over a global total order, split by range partition."""
     laid, _ = range_layout(df, keys)
-    inner = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_at_part").orderBy("_at_pos").rowsBetween(Window.unboundedPreceding, -1)
     local = laid.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"_l_{n}") for n, v in sums.items()])
-    totals = laid.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = laid.groupBy("_at_part").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    before = Window.orderBy("_at_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        "_at_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
-    joined = local.join(F.broadcast(offsets), "_part")
+    joined = local.join(F.broadcast(offsets), "_at_part")
     return joined.select(
         *[F.col(c) for c in df.columns], *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
     )
