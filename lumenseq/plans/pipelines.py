@@ -1,0 +1,239 @@
+"""Whole workflows composed from the operators: prepare, fit, evaluate, user models."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenseq.operators import align
+from lumenseq.operators import cleaning as C
+from lumenseq.operators import diagnose as D
+from lumenseq.operators import identity as I
+from lumenseq.operators import metrics as M
+from lumenseq.operators import replay as R
+from lumenseq.operators import sampling as A
+from lumenseq.operators import splits as P
+from lumenseq.operators import validate as L
+from lumenseq.operators import vocab as V
+from lumenseq.operators.fit import train
+from lumenseq.operators.layout import ordinal
+from lumenseq.operators.models import AbilityModel, BundleModel, ResidualModel, check_model
+from lumenseq.operators.windows import runs
+from lumenseq.plans.tables import TutorLog
+from lumenseq.session import cut_lineage
+from lumenseq.sources import files, sinks
+
+
+class WorkflowError(RuntimeError):
+    """A gate of a workflow failed; nothing was published or scored past it."""
+
+
+def _require_empty(df: DataFrame, what: str) -> None:
+    found = df.limit(3).collect()
+    if found:
+        raise WorkflowError(f"{what}: {[r.asDict() for r in found]}")
+
+
+def _tree(df: DataFrame) -> list[dict]:
+    """Hash and row count per split; three rows."""
+    return [r.asDict() for r in I.tree_hash(df, I.row_json(df), "split").orderBy("split").collect()]
+
+
+def prepare_kt1(spark: SparkSession, raw_dir: str, questions: str, out: str, pilot: tuple[int, int] | None = None,
+                cohort: int | None = None, expected: dict[str, int] | None = None, rebuild: bool = False) -> tuple[str, dict]:
+    """Per-learner logs to a published dataset.
+
+    ``pilot`` is (size, seed) of the sampled population that defines the
+    vocabulary, ``cohort`` the number of pilot learners whose rows are kept.
+    """
+    population = files.kt1_user_ids(spark, raw_dir)
+    chosen = A.seeded_sample(population, "user_id", *pilot).select("user_id") if pilot else population
+    chosen = cut_lineage(chosen)
+    raw = files.read_kt1_user_dir(spark, raw_dir).join(chosen, "user_id", "left_semi").withColumn("seq", F.col("source_row"))
+    marked = cut_lineage(C.kt1_drop_reason(raw, files.read_questions(spark, questions)))
+    canonical = C.kt1_to_canonical(C.eligible(marked))
+    labelled = ordinal(P.solving_split(canonical), ["learner_id", "order"], "seq")
+    fitted = V.fitted_rows(labelled)
+    items, kcs = V.vocabulary(fitted, F.col("item_id")), V.kc_vocabulary(fitted)
+    rows, kept = labelled, marked
+    if cohort is not None:
+        members = cut_lineage(A.first_ids(chosen.withColumnRenamed("user_id", "learner_id"), "learner_id", cohort))
+        rows = densify_cohort(A.cohort_rows(labelled, members))
+        kept = A.cohort_rows(marked, members)
+        _require_empty(V.missing_learners(members, rows), "cohort learners without rows")
+    _require_empty(L.validate(rows, check_temporal=False, check_bundle_contiguity=False).drop("message"), "invalid rows")
+    invariants = D.sequence_invariants(rows).first().asDict()
+    if any(invariants.values()):
+        raise WorkflowError(f"sequence invariants broken: {invariants}")
+    summary = D.split_diagnostics(rows, kept.agg(F.count(F.lit(1))))
+    if expected:
+        _require_empty(L.count_gate(summary, expected), "frozen counts differ")
+    identity = {"splits": _tree(rows), "items": items.count(), "kcs": kcs.count()}
+
+    def write(path: str) -> None:
+        sinks.write_splits(rows, f"{path}/rows")
+        items.write.parquet(f"{path}/items")
+        kcs.write.parquet(f"{path}/kcs")
+        sinks.write_manifest(spark, f"{path}/manifest.json", identity, summary,
+                             V.oov_counts(rows.where(F.col("split") == "test"), items))
+
+    return sinks.publish_if_changed(spark, out, identity, write, rebuild), identity
+
+
+def densify_cohort(rows: DataFrame) -> DataFrame:
+    """Renumber the kept learners without gaps so run detection sees no interruptions."""
+    return ordinal(rows, ["seq"], "seq")
+
+
+def prepare_tutor(spark: SparkSession, csv: str, out: str, expected: dict[str, int] | None = None,
+                  rebuild: bool = False) -> tuple[str, dict]:
+    """Tutor CSV to a published dataset with closed bundles and TRAIN+VALID vocabularies."""
+    log = TutorLog(files.read_tutor_csv(spark, csv))
+    rows = cut_lineage(log.canonical)
+    _require_empty(L.validate(V.fitted_rows(rows)).drop("message"), "invalid TRAIN/VALID rows")
+    summary = D.tutor_diagnostics(log.marked, log.closed, rows, log.learners, log.items, log.skills)
+    if expected:
+        _require_empty(L.count_gate(summary, expected), "frozen counts differ")
+    if summary.first()["derived_cross_boundary_bundles"]:
+        raise WorkflowError("bundle closure left a TRAIN/VALID crossing bundle")
+    identity = {"splits": _tree(rows), "items": log.items.count(), "skills": log.skills.count()}
+
+    def write(path: str) -> None:
+        sinks.write_splits(rows, f"{path}/rows", extra=("source_row", "skill_id"))
+        for name, vocab in (("learners", log.learners), ("items", log.items), ("skills", log.skills)):
+            vocab.write.parquet(f"{path}/{name}")
+        sinks.write_manifest(spark, f"{path}/manifest.json", identity, summary)
+
+    return sinks.publish_if_changed(spark, out, identity, write, rebuild), identity
+
+
+def _model(kind: str, rule: str) -> tuple[BundleModel, ResidualModel | None]:
+    if kind == "irt":
+        return AbilityModel(), None
+    if kind == "ar_kt":
+        residual = ResidualModel(rule=rule, tags="tag_idxs")
+        return residual, residual
+    raise ValueError(f"model kind must be irt or ar_kt, got {kind!r}")
+
+
+def _scores(trace: DataFrame) -> dict:
+    found = M.masked_metrics(trace).collect()
+    return found[0].asDict() if found else {}
+
+
+def fit_valid(rows: DataFrame, kind: str, rule: str = "token", state_path: str | None = None) -> dict:
+    """TRAIN pass, optional state save, VALID pass with difficulty frozen, masked metrics."""
+    model, residual = _model(kind, rule)
+    part = lambda s: ordinal(rows.where(F.col("split") == s), ["seq"], "seq")
+    fit = train(part("train"), residual=residual)
+    states = cut_lineage(R.states_of(fit.walked))
+    if state_path:
+        sinks.save_state(states, fit.difficulty, state_path, kind, rule)
+    valid = R.attach_difficulty(part("valid"), fit.difficulty)
+    walked = cut_lineage(R.replay(valid, model, states, keep=("interaction_id", "correct", "metric_mask")))
+    trace = R.trace_of(walked)
+    out = {"valid": _scores(trace), "sweeps": fit.sweeps, "step": fit.step}
+    if kind == "ar_kt":
+        out["valid_global"] = _scores(trace.withColumn("probability", F.col("p_global")))
+    return out
+
+
+def evaluate_test(rows: DataFrame, kind: str, state_path: str, expected_valid: dict, rule: str = "token",
+                  tolerance: float = 1e-12, stored_identity: DataFrame | None = None) -> dict:
+    """Gate on identity and on the VALID metrics, then continue into TEST.
+
+    The TEST rows are only read once the gate has passed: their DataFrame is
+    not executed before.
+    """
+    if stored_identity is not None:
+        observed = I.tree_hash(rows, I.row_json(rows), "split")
+        _require_empty(I.identity_mismatches(stored_identity, observed), "dataset identity differs")
+    model, _ = _model(kind, rule)
+    _, states, difficulty = sinks.load_state(rows.sparkSession, state_path, kind)
+    keep = ("interaction_id", "correct", "metric_mask")
+    part = lambda s: R.attach_difficulty(ordinal(rows.where(F.col("split") == s), ["seq"], "seq"), difficulty)
+    valid = cut_lineage(R.replay(part("valid"), model, states, keep=keep))
+    gate = M.within_tolerance(M.masked_metrics(R.trace_of(valid)), expected_valid, tolerance).collect()
+    if not gate or not gate[0]["ok"]:
+        raise WorkflowError(f"VALID replay gate failed: {[g.asDict() for g in gate]}")
+    moved = R.states_of(valid)
+    carried = moved.unionByName(states.join(moved.select("learner_id").distinct(), "learner_id", "left_anti"))
+    known = difficulty.select("item_id", F.lit(True).alias("_known"))
+    test = part("test").join(known, "item_id", "left").withColumn(
+        "metric_mask", F.col("metric_mask") & F.coalesce("_known", F.lit(False)))
+    return {"valid": gate[0].asDict(), "test": _scores(R.trace_of(R.replay(test, model, carried, keep=keep)))}
+
+
+@dataclass
+class UserRun:
+    """Result of a user model on TRAIN then VALID."""
+
+    predictions: DataFrame
+    metrics: dict
+    trace_hash: list[dict]
+    states: DataFrame
+
+
+def run_user_model(rows: DataFrame, model: BundleModel, roles: list[tuple[str, str]], oov_semantics: str | None = None,
+                   phase_state: str = "carry", test: bool = False) -> UserRun:
+    """TRAIN then VALID (and, on request, TEST) through a user model with all contract checks.
+
+    ``phase_state`` ``carry`` continues TEST from the VALID states, ``independent``
+    restarts it from the TRAIN-only states.
+    """
+    check_model(model, oov_semantics)
+    if phase_state not in ("carry", "independent"):
+        raise ValueError(f"phase_state must be carry or independent, got {phase_state!r}")
+    fitting, scoring = P.role_rows(rows, roles, "train"), P.role_rows(rows, roles, "valid")
+    held_out = [s for s, r in roles if r == "test"]
+    if held_out:
+        _require_empty(V.leaked_learners(fitting.unionByName(scoring), P.role_rows(rows, roles, "test")), "TEST ids in fitting rows")
+    keep = ("interaction_id", "correct", "metric_mask", "split")
+    trained = cut_lineage(R.states_of(R.replay(fitting, model)))
+    walked = cut_lineage(R.replay(scoring, model, trained, keep=keep))
+    target, states = scoring, R.states_of(walked)
+    if test:
+        entering = trained
+        if phase_state == "carry":
+            entering = states.unionByName(trained.join(states.select("learner_id").distinct(), "learner_id", "left_anti"))
+        target = P.role_rows(rows, roles, "test")
+        walked = cut_lineage(R.replay(target, model, entering, keep=keep))
+    predictions = R.trace_of(walked)
+    _require_empty(align.misaligned(target.select("seq", "interaction_id"), predictions.select("seq", "interaction_id")), "misaligned predictions")
+    hashes = [r.asDict() for r in I.tree_hash(predictions, I.trace_line(), "split").collect()]
+    return UserRun(predictions, _scores(predictions), hashes, states)
+
+
+def run_user_directory(spark: SparkSession, directory: str, model: BundleModel) -> UserRun:
+    """User model on a canonical directory: declaration, validation, membership, then the run."""
+    declared = files.read_declaration(spark, directory)
+    check_model(model, declared["oov_representation_semantics_id"])
+    rows = cut_lineage(files.read_canonical(spark, directory))
+    _require_empty(L.validate(rows).drop("message"), "invalid dataset")
+    _require_empty(P.outside_declared_splits(rows, declared["split_order"]).select("interaction_id", "split"), "undeclared split")
+    return run_user_model(rows, model, declared["split_roles"], declared["oov_representation_semantics_id"])
+
+
+def inspect_canonical(rows: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, dict]:
+    """Model-free replay of the bundle pre-state with optional whole-bundle cap, and its counts."""
+    _require_empty(L.validate(rows).drop("message"), "invalid dataset")
+    placed = ordinal(rows, ["learner_id", "order"], "seq")
+    marked = runs(placed)
+    if max_rows is not None:
+        marked = A.cap_whole_bundles(marked, max_rows)
+    steps = marked.select("interaction_id", "learner_id", "bundle_id", "order", F.col("revealed").alias("pre_bundle_update_count"))
+    counts = marked.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("learner_id").alias("learners"),
+                        F.countDistinct("run_first_seq").alias("bundles")).first().asDict()
+    return steps, counts
+
+
+def smoke(rows: DataFrame, kind: str, path: str, n: int = 24, rule: str = "token") -> dict:
+    """TRAIN pass over the first rows in stored order, metrics and written predictions."""
+    _, residual = _model(kind, rule)
+    few = cut_lineage(ordinal(A.first_rows(rows, n), ["seq"], "seq"))
+    fit = train(few, residual=residual)
+    trace = R.trace_of(fit.walked).join(few.select("seq", "bundle_id", "split"), "seq")
+    sinks.write_predictions(trace, path, kind, 0, "smoke", "smoke")
+    return _scores(trace)

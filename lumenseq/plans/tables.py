@@ -109,33 +109,33 @@ class Kt1:
         return P.solving_split(self.contiguous, self.hot)
 
 
-@dataclass
-class Tutor:
-    """First-attempt tutor log: one student per ``orders`` customer."""
+def tutor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-attempt tutor log shape from orders, lineitem and part, as text columns."""
+    orders = table(spark, sf_dir, "orders")
+    items = table(spark, sf_dir, "lineitem")
+    parts = table(spark, sf_dir, "part")
+    joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).join(
+        parts, items["l_partkey"] == parts["p_partkey"]
+    )
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ))")
+    rows = joined.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        F.col("o_custkey").cast("string").alias("student_id"),
+        F.col("l_partkey").cast("string").alias("problem_id"),
+        F.when(F.col("p_type") == "PROMO", "").otherwise(F.col("p_brand")).alias("skill_id"),
+        F.when(F.col("l_returnflag") == "R", "0").otherwise("1").alias("correct"),
+        seconds.cast("string").alias("timestamp"),
+        F.when(F.col("l_linenumber") > 6, "2").otherwise("1").alias("attempt_count"),
+    )
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return ordinal(rows, keys, "source_row").drop(*keys)
 
-    spark: SparkSession
-    sf_dir: str
 
-    @cached_property
-    def raw(self) -> DataFrame:
-        orders = table(self.spark, self.sf_dir, "orders")
-        items = table(self.spark, self.sf_dir, "lineitem")
-        parts = table(self.spark, self.sf_dir, "part")
-        joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).join(
-            parts, items["l_partkey"] == parts["p_partkey"]
-        )
-        seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ))")
-        rows = joined.select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-            F.col("o_custkey").cast("string").alias("student_id"),
-            F.col("l_partkey").cast("string").alias("problem_id"),
-            F.when(F.col("p_type") == "PROMO", "").otherwise(F.col("p_brand")).alias("skill_id"),
-            F.when(F.col("l_returnflag") == "R", "0").otherwise("1").alias("correct"),
-            seconds.cast("string").alias("timestamp"),
-            F.when(F.col("l_linenumber") > 6, "2").otherwise("1").alias("attempt_count"),
-        )
-        keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-        return ordinal(rows, keys, "source_row").drop(*keys)
+@dataclass
+class TutorLog:
+    """First-attempt tutor log from raw text rows with ``source_row``."""
+
+    raw: DataFrame
 
     @cached_property
     def marked(self) -> DataFrame:
@@ -198,3 +198,8 @@ class Tutor:
             "source_row",
             "skill_id",
         )
+
+
+def Tutor(spark: SparkSession, sf_dir: str) -> TutorLog:
+    """One student per ``orders`` customer."""
+    return TutorLog(tutor_raw(spark, sf_dir))
