@@ -22,10 +22,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """File-source stream over the events table, whether it is one file or a folder of parts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    single = path.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(path)
+    reader = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 16)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
+
+
 def canonical_stream(spark: SparkSession, d: str) -> DataFrame:
     """Eligible responses as a stream; the item catalog is a static join."""
-    schema = table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{d}/events.parquet")
+    events = event_stream(spark, d)
     answer = F.expr("CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'purchase' THEN 'c' WHEN 'signup' THEN 'd' END")
     rows = events.select(
         F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("interaction_id"),
@@ -72,9 +79,7 @@ def stream_gap_eval(spark, d):
 @query("stream_issues", """
 SELECT 'invalid_order' AS code, 'u' || user_id AS learner_id, 'e' || event_id AS interaction_id FROM events WHERE event_id % 997 = 4""")
 def stream_issues(spark, d):
-    schema = table(spark, d, "events").schema
-    s = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
-    rows = s.select(
+    rows = event_stream(spark, d).select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("interaction_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("learner_id"), F.lit("q").alias("item_id"), F.lit("b").alias("bundle_id"),
         F.lit(1).cast("long").alias("correct"), F.when(F.col("event_id") % 997 == 4, -1).otherwise(F.col("event_id")).cast("long").alias("order"),
@@ -85,9 +90,7 @@ def stream_issues(spark, d):
 @query("stream_dedup", """
 SELECT DISTINCT user_id || '-' || event_type AS interaction_id FROM events""")
 def stream_dedup(spark, d):
-    schema = table(spark, d, "events").schema
-    s = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
-    rows = s.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("interaction_id"), F.col("ts").cast("timestamp").alias("t"))
+    rows = event_stream(spark, d).select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("interaction_id"), F.col("ts").cast("timestamp").alias("t"))
     return online.run_available(online.online_dedup(rows, "t", "40000 days"), scratch(spark)).select("interaction_id")
 
 
