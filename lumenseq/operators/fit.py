@@ -55,14 +55,20 @@ def train(rows: DataFrame, difficulty: DataFrame | None = None, states: DataFram
         "seq", "learner_id", "item_id", F.col("run_first_seq").alias("run_key"), "correct",
         *[c for c in dict.fromkeys([*extra, "interaction_id", "metric_mask"]) if c in rows.columns],
     )
-    marked = marked.withColumn("_llane", F.lit(0).cast("long")).withColumn("_ilane", F.lit(0).cast("long"))
+    marked = cut_lineage(marked)
+    # Inside a run only the item's row count, response sum and last response matter,
+    # so the relaxation works on one row per run and item, however large the run.
+    entries = marked.groupBy("learner_id", "run_key", "item_id").agg(
+        F.max("seq").alias("seq"), F.count(F.lit(1)).alias("_w"), F.sum("correct").alias("correct"),
+        F.max_by("correct", "seq").alias("_last"))
+    entries = entries.withColumn("_llane", F.lit(0).cast("long")).withColumn("_ilane", F.lit(0).cast("long"))
     if learner_hot:
-        marked = with_lanes(marked.drop("_llane"), "learner_id", "run_key", False, learner_hot).withColumnRenamed("_lane", "_llane")
+        entries = with_lanes(entries.drop("_llane"), "learner_id", "run_key", False, learner_hot).drop("_run_key").withColumnRenamed("_lane", "_llane")
     if item_hot:
-        marked = with_lanes(marked.drop("_ilane"), "item_id", "run_key", False, item_hot).withColumnRenamed("_lane", "_ilane")
+        entries = with_lanes(entries.drop("_ilane"), "item_id", "run_key", False, item_hot).drop("_run_key").withColumnRenamed("_lane", "_ilane")
     start_b = difficulty.select("item_id", F.lit(-1).cast("long").alias("slot"), F.array("b").alias("values"),
                                 F.lit(None).cast("long").alias("clock"), F.lit(None).cast("binary").alias("blob")) if difficulty is not None else None
-    seen = marked.join(difficulty, "item_id", "left") if difficulty is not None else marked.withColumn("b", F.lit(0.0))
+    seen = entries.join(difficulty, "item_id", "left") if difficulty is not None else entries.withColumn("b", F.lit(0.0))
     current = cut_lineage(seen.withColumn("b", F.coalesce("b", F.lit(0.0))))
     main = states.where("slot < 0") if states is not None else None
     body = [c for c in current.columns if c not in ("b",)]
@@ -71,7 +77,7 @@ def train(rows: DataFrame, difficulty: DataFrame | None = None, states: DataFram
     l_lanes = lane_names("learner_id", "_llane") if learner_hot else None
     i_lanes = lane_names("item_id", "_ilane") if item_hot else None
     l_out = i_out = None
-    ability, item_model = AbilityModel(theta_lr, l2), DifficultyModel(b_lr, l2)
+    ability, item_model = AbilityModel(theta_lr, l2, "_w"), DifficultyModel(b_lr, l2, "_last")
     step, sweeps = float("inf"), 0
     while learn_b and step > tolerance and sweeps < max_sweeps:
         # Several sweeps share one checkpoint: each adds two shuffles of narrow rows.
@@ -99,8 +105,9 @@ def train(rows: DataFrame, difficulty: DataFrame | None = None, states: DataFram
     if difficulty is not None and learn_b:
         kept = difficulty.join(table, "item_id", "left_anti").select("item_id", "b")
         table = table.unionByName(kept)
-    final_rows = current.select(*body, "b")
-    model: BundleModel = residual if residual is not None else ability
+    found = current.select("learner_id", "run_key", "item_id", "b")
+    final_rows = marked.join(found, ["learner_id", "run_key", "item_id"])
+    model: BundleModel = residual if residual is not None else AbilityModel(theta_lr, l2)
     walked = replay(final_rows, model, states, "learner_id", "run_key", False,
-                    keep=[c for c in ("interaction_id", "item_id", "correct", "metric_mask") if c in body], hot=learner_hot)
+                    keep=[c for c in ("interaction_id", "item_id", "correct", "metric_mask") if c in final_rows.columns], hot=learner_hot)
     return Fit(final_rows, table, walked, sweeps, step)

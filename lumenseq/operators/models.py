@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -42,6 +42,7 @@ class BundleModel:
     outputs: tuple[tuple[str, str], ...] = (("probability", "double"),)
     slot_decay: float | None = None
     metadata: dict[str, str] = {}
+    weighted: bool = False
     accepts_oov: tuple[str, ...] | None = None
 
     def new_state(self, key: Any) -> Any:
@@ -62,6 +63,10 @@ class BundleModel:
     def save(self, state: Any) -> list[tuple]:
         return [(-1, None, None, pickle.dumps(state, protocol=4))]
 
+    def with_weight(self, column: str) -> "BundleModel":
+        """Copy that reads pre-aggregated rows: ``correct`` is a sum over ``column`` equal rows."""
+        raise NotImplementedError
+
     def head(self) -> "BundleModel":
         """Model of the main state alone, when the other slots do not feed back into it."""
         return self
@@ -103,10 +108,18 @@ class AbilityModel(BundleModel):
 
     theta_lr: float = THETA_LR
     l2: float = L2
+    weight: str | None = None
     columns: tuple[str, ...] = ("b",)
     outputs: tuple[tuple[str, str], ...] = (
         ("probability", "double"), ("p_global", "double"), ("theta_pre", "double"), ("b_pre", "double"))
     metadata: dict = field(default_factory=lambda: dict.fromkeys(REQUIRED_METADATA, "ability-v1"))
+    weighted = True
+
+    def __post_init__(self):
+        self.columns = ("b",) if self.weight is None else ("b", self.weight)
+
+    def with_weight(self, column):
+        return AbilityModel(self.theta_lr, self.l2, column)
 
     def load(self, key, records):
         return records[0][1][0] if records else 0.0
@@ -120,7 +133,8 @@ class AbilityModel(BundleModel):
 
     def gather(self, state, gathered, row):
         total, n = gathered or (0.0, 0)
-        return total + (row["correct"] - logistic(state - row["b"]) - self.l2 * state), n + 1
+        w = 1 if self.weight is None else row[self.weight]
+        return total + (row["correct"] - w * (logistic(state - row["b"]) + self.l2 * state)), n + w
 
     def commit(self, state, gathered):
         return state + self.theta_lr * (gathered[0] / gathered[1])
@@ -140,6 +154,7 @@ class ResidualModel(BundleModel):
     l2: float = L2
     tags: str = "tag_idxs"
     clock: str = "timestamp"
+    weight: str | None = None
     outputs: tuple[tuple[str, str], ...] = (
         ("probability", "double"), ("p_global", "double"), ("theta_pre", "double"), ("b_pre", "double"),
         ("r_bar", "double"), ("r_pre", "array<double>"))
@@ -148,11 +163,16 @@ class ResidualModel(BundleModel):
     def __post_init__(self):
         if self.rule not in ("token", "skill_mean"):
             raise ValueError(f"rule must be token or skill_mean, got {self.rule!r}")
-        self.columns = ("b", self.tags, self.clock)
+        self.columns = ("b", self.tags, self.clock) + (() if self.weight is None else (self.weight,))
         self.slot_decay = 1.0 - self.eta
 
+    weighted = True
+
+    def with_weight(self, column):
+        return replace(self, weight=column)
+
     def head(self):
-        return AbilityModel(self.theta_lr, self.l2)
+        return AbilityModel(self.theta_lr, self.l2, self.weight)
 
     def load(self, key, records):
         theta, residual = 0.0, {}
@@ -176,10 +196,12 @@ class ResidualModel(BundleModel):
 
     def gather(self, state, gathered, row):
         theta = state[0]
-        error = row["correct"] - logistic(theta - row["b"])
+        w = 1 if self.weight is None else row[self.weight]
+        error = row["correct"] - w * logistic(theta - row["b"])
         seen = gathered or {"error": 0.0, "n": 0, "kc": {}, "clock": None}
         seen["error"] += error
-        seen["n"] += 1
+        first = seen["n"] == 0
+        seen["n"] += w
         tags, when = row[self.tags], row[self.clock]
         when = None if when is None else int(when)
         if self.rule == "skill_mean" and len(tags) != 1:
@@ -187,11 +209,11 @@ class ResidualModel(BundleModel):
         if self.rule == "token":
             if when is not None:
                 seen["clock"] = when if seen["clock"] is None else max(seen["clock"], when)
-        elif seen["n"] == 1:
+        elif first:
             seen["clock"] = when
         for k in tags:
             total, count = seen["kc"].get(k, (0.0, 0))
-            seen["kc"][k] = (total + error, count + 1)
+            seen["kc"][k] = (total + error, count + w)
         return seen
 
     def commit(self, state, gathered):
@@ -209,14 +231,19 @@ class ResidualModel(BundleModel):
 class DifficultyModel(BundleModel):
     """Item difficulty with the learner's ability given per row (training side).
 
-    Rows of one run share the difficulty; the run's last row decides the step.
+    Rows of one run share the difficulty; the run's last row decides the step,
+    so ``last`` names the column with the response that counts.
     """
 
     b_lr: float = B_LR
     l2: float = L2
+    last: str = "correct"
     columns: tuple[str, ...] = ("theta_pre",)
     outputs: tuple[tuple[str, str], ...] = (("b_new", "double"),)
 
+    def __post_init__(self):
+        self.columns = ("theta_pre", self.last)
+
     def load(self, key, records):
         return records[0][1][0] if records else 0.0
 
@@ -227,7 +254,7 @@ class DifficultyModel(BundleModel):
         return (state,)
 
     def gather(self, state, gathered, row):
-        return row["correct"] - logistic(row["theta_pre"] - state)
+        return row[self.last] - logistic(row["theta_pre"] - state)
 
     def commit(self, state, gathered):
         return state + self.b_lr * (-gathered - self.l2 * state)

@@ -168,7 +168,32 @@ def with_lanes(rows: DataFrame, key: str, bundle: str, physical: bool, hot: HotK
     """Lane number of each row; hot keys are cut at run boundaries every ``width`` rows."""
     marked = runs(rows, bundle, physical, hot, [key])
     cut = F.floor(F.col("revealed") / F.lit(hot.width)).cast("long")
-    return marked.select(*rows.columns, F.when(is_hot(hot), cut).otherwise(F.lit(0).cast("long")).alias("_lane"))
+    return marked.select(*rows.columns, F.when(is_hot(hot), cut).otherwise(F.lit(0).cast("long")).alias("_lane"),
+                         F.col("run_first_seq").alias("_run_key"))
+
+
+def _fold_runs(laned: DataFrame, model: BundleModel, key: str, keep: Sequence[str], big: HotKeys) -> DataFrame:
+    """Replace the rows of very large runs by one weighted row per distinct model input."""
+    whole = laned.where(~is_hot(big)).withColumn("_w", F.lit(1).cast("long")).withColumn("_folded", F.lit(False))
+    clock = getattr(model, "clock", None)
+    inputs = [c for c in model.columns if c != clock]
+    folded = laned.where(is_hot(big)).groupBy(key, "_lane", "_run_key", *inputs).agg(
+        F.min("seq").alias("seq"), F.sum("correct").alias("correct"), F.count(F.lit(1)).alias("_w"),
+        *([F.max(clock).alias(clock) if model.rule == "token" else F.min_by(clock, "seq").alias(clock)] if clock else []),
+    ).withColumn("_folded", F.lit(True))
+    return whole.unionByName(folded, allowMissingColumns=True)
+
+
+def _unfold(walked: DataFrame, laned: DataFrame, model: BundleModel, key: str, keep: Sequence[str], big: HotKeys) -> DataFrame:
+    """Give every row of a folded run the outputs of its weighted row."""
+    inputs = [c for c in model.columns if c != getattr(model, "clock", None)]
+    outputs = [n for n, _ in model.outputs]
+    plain = walked.where("kind = 1 OR NOT _folded")
+    scored = walked.where("kind = 0 AND _folded").select(key, "_run_key", "_lane", *inputs, *outputs)
+    rows = laned.where(is_hot(big)).join(scored.withColumnRenamed("_lane", "_l"), [key, "_run_key", *inputs])
+    shaped = rows.select(F.lit(0).alias("kind"), key, "_lane", "seq", *[c for c in keep if c not in (key, "seq")], *outputs)
+    columns = [c for c in plain.columns if c not in ("_folded", "_run_key") and (c in keep or c not in inputs)]
+    return plain.select(*columns).unionByName(shaped.select(*[c for c in columns if c in shaped.columns]), allowMissingColumns=True)
 
 
 def _spread_start(lanes: DataFrame, states: DataFrame | None, key: str, hot: HotKeys) -> DataFrame | None:
@@ -272,12 +297,22 @@ def replay(rows: DataFrame, model: BundleModel, states: DataFrame | None = None,
     if not hot:
         return walk(rows, model, states, key, bundle, None, physical, keep)
     laned = cut_lineage(with_lanes(rows, key, bundle, physical, hot))
-    big = laned.where(is_hot(hot))
-    entering = lane_states(big, model, states, key, bundle, physical, hot, tolerance)
+    big = hot_keys(laned.where(is_hot(hot)), [key, "_run_key"], hot.width)
+    fold = bool(big) and model.weighted
+    source, stepper = laned, model
+    if fold:
+        # One run may itself be huge: score its distinct inputs once, weighted.
+        source, stepper = cut_lineage(_fold_runs(laned, model, key, keep, big)), model.with_weight("_w")
+    entering = lane_states(source.where(is_hot(hot)), stepper, states, key, "_run_key", False, hot, tolerance)
     if states is not None:
         cold = states.where(~is_hot(hot)).withColumn("_lane", F.lit(0).cast("long"))
         entering = entering.unionByName(cold.select(*entering.columns))
-    return walk(laned, model, cut_lineage(entering), key, bundle, "_lane", physical, keep)
+    entering = cut_lineage(entering)
+    if not fold:
+        return walk(laned, model, entering, key, "_run_key", "_lane", False, keep)
+    inputs = [c for c in model.columns if c != getattr(model, "clock", None)]
+    walked = walk(source, stepper, entering, key, "_run_key", "_lane", False, [*keep, *inputs, "_folded", "_run_key"])
+    return _unfold(cut_lineage(walked), laned, model, key, keep, big)
 
 
 def bundle_pre_state(rows: DataFrame, hot: HotKeys | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from oracle_numpy import serial_pass
 SCHEMA = "seq long, interaction_id string, learner_id string, item_id string, bundle_id string, correct long, tag_idxs array<long>, timestamp long, metric_mask boolean, b double"
 
 
-def log(n=160, learners=5, items=9, kcs=4, seed=3, one_kc=False, skew=0.5, contiguous=True):
+def log(n=120, learners=5, items=9, kcs=4, seed=3, one_kc=False, skew=0.5, contiguous=True):
     rng = random.Random(seed)
     who = ["u0" if rng.random() < skew else f"u{rng.randrange(1, learners)}" for _ in range(n)]
     if contiguous:
@@ -113,9 +113,9 @@ def test_training_duplicate_item_last_write(spark):
 
 def test_training_hot_keys(spark):
     from lumenseq.session import HOT_ROWS_SETTING
-    rows = log(n=70)
+    rows = log(n=60)
     want, *_ = serial_pass(rows, train=True)
-    spark.conf.set(HOT_ROWS_SETTING, "20")
+    spark.conf.set(HOT_ROWS_SETTING, "25")
     try:
         fit = train(frame(spark, rows).drop("b"))
     finally:
@@ -123,3 +123,22 @@ def test_training_hot_keys(spark):
     out = got(fit.walked)
     for x in rows:
         assert out[x["seq"]]["p_global"] == pytest.approx(want[x["seq"]]["p_global"], abs=1e-11)
+
+
+@pytest.mark.parametrize("rule", ["token", "skill_mean", None])
+def test_one_huge_bundle(spark, small_hot, rule):
+    """A bundle above the threshold is folded to weighted rows and still scored row by row."""
+    rows = log(n=70, one_kc=rule == "skill_mean")
+    mine = [r for r in rows if r["learner"] == "u0"]
+    for r in mine[5:30]:
+        r["bundle"] = "u0|big"
+    want, _, _, r = serial_pass(rows, b={x["item"]: x["b"] for x in rows}, train=False, rule=rule)
+    model = ResidualModel(rule=rule) if rule else AbilityModel()
+    walked = R.replay(frame(spark, rows), model, tolerance=1e-15)
+    out = got(walked)
+    assert len(out) == len(rows)
+    for x in rows:
+        assert out[x["seq"]]["probability"] == pytest.approx(want[x["seq"]]["p_art"], abs=1e-12)
+        assert out[x["seq"]]["interaction_id"] == f"i{x['seq']}"
+    states = {(s["learner_id"], s["slot"]): s["values"][0] for s in R.states_of(walked).collect()}
+    assert all(states[k] == pytest.approx(v, abs=1e-12) for k, v in r.items())
