@@ -14,6 +14,11 @@ def cell(column: Column) -> Column:
     return F.regexp_replace(F.coalesce(column.cast("string"), F.lit("")), _EDGE_SPACE, "")
 
 
+def cell_sql(name: str) -> str:
+    """``cell`` as SQL text, for projections that clean many columns at once."""
+    return f"regexp_replace(coalesce(cast({name} as string), ''), r'{_EDGE_SPACE}', '')"
+
+
 def is_blank(column: Column) -> Column:
     return cell(column) == ""
 
@@ -31,29 +36,28 @@ def is_kc_token(column: Column) -> Column:
     return column.rlike("^(0|-?[1-9][0-9]*)$")
 
 
-def tag_tokens(tags: Column) -> Column:
+def tag_tokens_sql(tags: str) -> str:
     """Non-empty trimmed tokens of a semicolon list; blank and -1 cells are empty."""
-    text = cell(tags)
-    tokens = F.filter(F.transform(F.split(text, ";"), cell), lambda t: t != "")
-    empty = F.array().cast("array<string>")
-    return F.when((text == "") | (text == "-1"), empty).otherwise(tokens)
+    text = cell_sql(tags)
+    tokens = f"filter(transform(split({text}, ';'), t -> {cell_sql('t')}), t -> t != '')"
+    return f"if({text} in ('', '-1'), cast(array() as array<string>), {tokens})"
 
 
-def invalid_tag(tags: Column) -> Column:
+def invalid_tag_sql(tags: str) -> str:
     """First token that is not a non-negative integer, or null."""
-    return F.try_element_at(F.filter(tag_tokens(tags), lambda t: ~is_digits(t)), F.lit(1))
+    return f"try_element_at(filter({tag_tokens_sql(tags)}, t -> not (t rlike '^[0-9]+$')), 1)"
 
 
-def parse_tags(tags: Column, question: Column | None = None) -> Column:
-    """KC ids in stored order with repeats; an invalid token fails the query."""
-    name = question if question is not None else F.lit("?")
-    problem = F.concat(
-        F.lit("question "), name, F.lit(": tags '"), tags, F.lit("' has invalid token '"),
-        invalid_tag(tags), F.lit("'"),
-    )
-    parsed = F.transform(tag_tokens(tags), lambda t: t.cast("long"))
-    return F.when(invalid_tag(tags).isNull(), parsed).otherwise(
-        F.raise_error(problem).cast("array<bigint>")
+def parse_tags(tags: str, question: str = "'?'") -> Column:
+    """KC ids in stored order with repeats; an invalid token fails the query.
+
+    ``tags`` and ``question`` are SQL expressions, usually column names.
+    """
+    bad = invalid_tag_sql(tags)
+    message = f"concat('question ', {question}, ': tags \"', {tags}, '\" has invalid token \"', {bad}, '\"')"
+    return F.expr(
+        f"if({bad} is null, transform({tag_tokens_sql(tags)}, t -> cast(t as bigint)), "
+        f"cast(raise_error({message}) as array<bigint>))"
     )
 
 

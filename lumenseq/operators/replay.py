@@ -61,7 +61,9 @@ def walk(rows: DataFrame, model: BundleModel, states: DataFrame | None = None, k
             *[F.col(n).alias(f"s_{n}") for n in _STATE_FIELDS],
         )
         body = body.unionByName(lead)
-    stream = body.repartition("_key", "_lane").sortWithinPartitions("_key", "_lane", "_seq", "s_slot")
+    # A fixed count keeps small-looking but Python-heavy partitions from being coalesced into one.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = body.repartition(parts, "_key", "_lane").sortWithinPartitions("_key", "_lane", "_seq", "s_slot")
 
     out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField(key, rows.schema[key].dataType),
                         T.StructField("_lane", T.LongType()), T.StructField("seq", T.LongType())])

@@ -28,20 +28,13 @@ class Kt1:
 
     @cached_property
     def _events(self) -> DataFrame:
-        e = table(self.spark, self.sf_dir, "events")
-        millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-        answer = (
-            F.when(F.col("event_type") == "click", "a").when(F.col("event_type") == "view", "b")
-            .when(F.col("event_type") == "purchase", "c").when(F.col("event_type") == "signup", "d").otherwise("")
-        )
-        return e.select(
-            F.col("event_id").alias("seq"),
-            F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
-            F.col("user_id").alias("user_no"),
-            millis.cast("string").alias("timestamp"),
-            F.datediff(F.col("ts"), F.lit("2024-01-01")).cast("string").alias("solving_id"),
-            F.concat(F.lit("q"), F.get_json_object("props", "$.k")).alias("question_id"),
-            answer.alias("user_answer"),
+        return table(self.spark, self.sf_dir, "events").selectExpr(
+            "event_id as seq",
+            "concat('u', user_id) as user_id",
+            "cast(timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) as string) as timestamp",
+            "cast(datediff(ts, '2024-01-01') as string) as solving_id",
+            "concat('q', get_json_object(props, '$.k')) as question_id",
+            "CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'purchase' THEN 'c' WHEN 'signup' THEN 'd' ELSE '' END as user_answer",
         )
 
     @cached_property
@@ -60,18 +53,12 @@ class Kt1:
 
     @cached_property
     def questions(self) -> DataFrame:
-        p = table(self.spark, self.sf_dir, "part").where(F.col("p_partkey") < 90)
-        brand = F.regexp_extract("p_brand", "([0-9]+)", 1)
-        pair = F.concat_ws(";", brand, F.col("p_size").cast("string"))
-        tags = (
-            F.when(F.col("p_type") == "SMALL", "-1")
-            .when(F.col("p_type") == "ECONOMY", F.concat_ws(";", pair, brand)).otherwise(pair)
-        )
-        answer = F.element_at(F.array(*[F.lit(a) for a in C.ANSWERS]), (F.col("p_partkey") % 4 + 1).cast("int"))
-        return p.select(
-            F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("question_id"),
-            tags.alias("tags"),
-            answer.alias("correct_answer"),
+        pair = "concat_ws(';', regexp_extract(p_brand, '([0-9]+)', 1), p_size)"
+        return table(self.spark, self.sf_dir, "part").where("p_partkey < 90").selectExpr(
+            "concat('q', p_partkey) as question_id",
+            f"""CASE p_type WHEN 'SMALL' THEN '-1' WHEN 'ECONOMY' THEN concat_ws(';', {pair}, regexp_extract(p_brand, '([0-9]+)', 1))
+                ELSE {pair} END as tags""",
+            "element_at(array('a', 'b', 'c', 'd'), cast(p_partkey % 4 + 1 as int)) as correct_answer",
         )
 
     @cached_property
@@ -85,7 +72,7 @@ class Kt1:
     @cached_property
     def canonical(self) -> DataFrame:
         """Eligible canonical rows; ``seq`` is the raw source position."""
-        return C.kt1_to_canonical(C.eligible(self.marked.drop("user_no")), self.hot)
+        return C.kt1_to_canonical(C.eligible(self.marked), self.hot)
 
     @cached_property
     def contiguous(self) -> DataFrame:
