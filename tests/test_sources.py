@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lumenseq.operators import identity as I
 from lumenseq.operators import validate as L
 from lumenseq.operators.models import REQUIRED_METADATA, AbilityModel, CountModel
-from lumenseq.plans import pipelines
+from lumenseq.plans import workflows
 from lumenseq.sources import files, sinks
 
 QUESTIONS = """question_id,bundle_id,explanation_id,correct_answer,part,tags
@@ -67,14 +67,14 @@ def test_numbered_lines_over_many_blocks(spark, tmp_path):
 def test_prepare_kt1_publish(spark, tmp_path):
     raw, questions = kt1_dir(tmp_path)
     out = str(tmp_path / "out")
-    status, identity = pipelines.prepare_kt1(spark, raw, questions, out, pilot=(3, 42), cohort=2)
+    status, identity = workflows.prepare_kt1(spark, raw, questions, out, pilot=(3, 42), cohort=2)
     assert status == "prepared" and sum(s["row_count"] for s in identity["splits"]) == 22
-    assert pipelines.prepare_kt1(spark, raw, questions, out, pilot=(3, 42), cohort=2)[0] == "reused"
+    assert workflows.prepare_kt1(spark, raw, questions, out, pilot=(3, 42), cohort=2)[0] == "reused"
     with pytest.raises(files.SourceError):
-        pipelines.prepare_kt1(spark, raw, questions, out, cohort=1)
-    assert pipelines.prepare_kt1(spark, raw, questions, out, cohort=1, rebuild=True)[0] == "prepared"
-    with pytest.raises(pipelines.WorkflowError):
-        pipelines.prepare_kt1(spark, raw, questions, out, cohort=1, expected={"eligible_rows": 5})
+        workflows.prepare_kt1(spark, raw, questions, out, cohort=1)
+    assert workflows.prepare_kt1(spark, raw, questions, out, cohort=1, rebuild=True)[0] == "prepared"
+    with pytest.raises(workflows.WorkflowError):
+        workflows.prepare_kt1(spark, raw, questions, out, cohort=1, expected={"eligible_rows": 5})
     valid = files.read_prepared(spark, f"{out}/rows", "valid", ["interaction_id", "seq"])
     assert valid.columns == ["interaction_id", "seq"]
     assert all("split=valid" in f for f in valid.inputFiles()) or "PartitionFilters" in valid._jdf.queryExecution().toString()
@@ -90,7 +90,7 @@ def test_prepare_tutor_closure(spark, tmp_path):
     lines += ["10,1,s0,1,1,2,x", "x,1,s0,1,1,1,x", "10,y,s0,1,1,1,x", "10,1,s0,3,1,1,x", "10,1,,1,1,1,x"]
     (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
     out = str(tmp_path / "t")
-    status, identity = pipelines.prepare_tutor(spark, str(tmp_path / "a.csv"), out)
+    status, identity = workflows.prepare_tutor(spark, str(tmp_path / "a.csv"), out)
     assert status == "prepared"
     doc = sinks.read_json(spark, f"{out}/manifest.json")
     assert (doc["raw_rows"], doc["eligible_rows"], doc["train_rows"], doc["valid_rows"], doc["test_rows"]) == (15, 10, 6, 2, 2)
@@ -135,9 +135,9 @@ def test_user_model_directory(spark, tmp_path):
     directory, _ = canonical_dir(spark, tmp_path)
     model = CountModel()
     model.metadata = dict.fromkeys(REQUIRED_METADATA, "v1")
-    run = pipelines.run_user_directory(spark, directory, model)
+    run = workflows.run_user_directory(spark, directory, model)
     assert run.metrics["n"] == 1 and run.predictions.first()["probability"] == pytest.approx(0.25)
-    steps, counts = pipelines.inspect_canonical(files.toy_interactions(spark), 3)
+    steps, counts = workflows.inspect_canonical(files.toy_interactions(spark), 3)
     assert counts == {"rows": 3, "learners": 1, "bundles": 2} and steps.count() == 3
 
 
@@ -181,12 +181,12 @@ def test_fit_evaluate_round_trip(spark, tmp_path):
             rows.append((u * 15 + i, f"i{u}-{i}", f"u{u}", f"q{(i * 7 + u) % 5}", (i + u) % 2, [i % 3], i, float(i), f"u{u}|{i // 3}", split, True, [i % 3]))
     df = spark.createDataFrame(rows, "seq long, interaction_id string, learner_id string, item_id string, correct long, kc_ids array<long>, order long, timestamp double, bundle_id string, split string, metric_mask boolean, tag_idxs array<long>")
     state = str(tmp_path / "state")
-    out = pipelines.fit_valid(df, "ar_kt", state_path=state)
+    out = workflows.fit_valid(df, "ar_kt", state_path=state)
     assert out["valid"]["n"] == 12 and out["step"] <= 1e-13
-    done = pipelines.evaluate_test(df, "ar_kt", state, out["valid"])
+    done = workflows.evaluate_test(df, "ar_kt", state, out["valid"])
     assert done["test"]["n"] == 12
-    with pytest.raises(pipelines.WorkflowError):
-        pipelines.evaluate_test(df, "ar_kt", state, {"nll": 0.0, "brier": 0.0, "auc": 0.0})
+    with pytest.raises(workflows.WorkflowError):
+        workflows.evaluate_test(df, "ar_kt", state, {"nll": 0.0, "brier": 0.0, "auc": 0.0})
     with pytest.raises(ValueError):
         sinks.load_state(spark, state, "irt")
-    assert pipelines.smoke(df, "irt", str(tmp_path / "smoke"))["n"] == 24
+    assert workflows.smoke(df, "irt", str(tmp_path / "smoke"))["n"] == 24
