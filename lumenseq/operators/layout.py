@@ -228,7 +228,7 @@ def range_layout(df: DataFrame, keys: Sequence[Column | str]) -> tuple[DataFrame
     """Range-partition and sort by a total order; return rows and partition sizes.
 
     The rows gain ``_at_part`` and ``_at_pos``. The layout is written to the
-    checkpoint folder once, so both results describe the same partitions.
+    shared folder once, so both results describe the same partitions.
     """
     laid = cut_lineage(
         df.repartitionByRange(*keys)

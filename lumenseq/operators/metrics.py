@@ -15,44 +15,41 @@ def masked(df: DataFrame) -> DataFrame:
     return df.where(F.col("metric_mask"))
 
 
-def _losses(df: DataFrame, p: str, group: list[str]) -> DataFrame:
-    y = F.col("correct")
-    return df.groupBy(*group).agg(
-        F.avg(S.nll_term(y, F.col(p))).alias("nll"),
-        F.avg(S.brier_term(y, F.col(p))).alias("brier"),
-        F.count(F.lit(1)).alias("n"),
-    )
-
-
-def auc(df: DataFrame, p: str = "probability", group: list[str] | None = None) -> DataFrame:
-    """Mann-Whitney AUC with average ranks for ties; 0.5 when one class is missing.
+def score(df: DataFrame, p: str = "probability", group: list[str] | None = None) -> DataFrame:
+    """NLL, Brier, AUC and n in one pass; no rows without a group means an empty result.
 
-    Rows are first reduced to distinct scores, so ranks come from running sums
-    over scores that are range-partitioned, not from one sorted task.
+    Rows are first reduced to distinct scores with map-side combining, so one
+    popular score is no hot spot. AUC is Mann-Whitney with average ranks for ties
+    (0.5 when one class is missing); ranks come from running sums over scores that
+    are range-partitioned, not from one sorted task.
     """
     group = group or []
     scores = df.groupBy(*group, p).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("correct").cast("long")).alias("_pos")
     )
     ranked = range_prefix(scores, [*group, p], {"_before": F.col("_n")})
-    # The global running count minus the group's own start is the rank inside the group.
+    hit, miss, at = F.col("_pos"), F.col("_n") - F.col("_pos"), F.col(p)
+    term = lambda fn: hit * fn(F.lit(1), at) + miss * fn(F.lit(0), at)
+    # The running count minus the group's own start is the rank inside the group.
     parts = ranked.groupBy(*group).agg(
-        F.sum(F.col("_pos") * (F.col("_before") + (F.col("_n") + 1) / 2.0)).alias("_rank"),
+        F.sum(term(S.nll_term)).alias("_nll"),
+        F.sum(term(S.brier_term)).alias("_brier"),
+        F.sum(hit * (F.col("_before") + (F.col("_n") + 1) / 2.0)).alias("_rank"),
         F.min("_before").alias("_start"),
         F.sum("_pos").alias("_p"),
-        F.sum("_n").alias("_all"),
-    )
+        F.sum("_n").alias("n"),
+    ).where("n > 0")
     pos = F.col("_p").cast("double")
-    neg = (F.col("_all") - F.col("_p")).cast("double")
+    neg = (F.col("n") - F.col("_p")).cast("double")
     value = (F.col("_rank") - pos * F.col("_start") - pos * (pos + 1) / 2.0) / (pos * neg)
-    return parts.select(*group, F.when((pos == 0) | (neg == 0), 0.5).otherwise(value).alias("auc"))
+    return parts.select(
+        *group, (F.col("_nll") / F.col("n")).alias("nll"), (F.col("_brier") / F.col("n")).alias("brier"),
+        F.when((pos == 0) | (neg == 0), 0.5).otherwise(value).alias("auc"), "n",
+    )
 
 
-def score(df: DataFrame, p: str = "probability", group: list[str] | None = None) -> DataFrame:
-    """NLL, Brier, AUC and n; no rows without a group means an empty result."""
-    losses = _losses(df, p, group or []).where("n > 0")
-    ranks = auc(df, p, group)
-    return losses.join(ranks, group) if group else losses.crossJoin(F.broadcast(ranks))
+def auc(df: DataFrame, p: str = "probability", group: list[str] | None = None) -> DataFrame:
+    return score(df, p, group).select(*(group or []), "auc")
 
 
 def masked_metrics(df: DataFrame, p: str = "probability", group: list[str] | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from lumenseq.operators import vocab as V
 from lumenseq.operators import windows as W
 from lumenseq.plans.oracle import DAMAGED, KT1, TUTOR, issue, number
 from lumenseq.plans.tables import Kt1, Tutor, table
+from lumenseq.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -249,7 +250,7 @@ def vocab_items(spark, d):
 SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx
 FROM (SELECT DISTINCT unnest(kc_ids) AS id FROM splitrows WHERE split IN ('train', 'valid'))""")
 def vocab_kcs(spark, d):
-    return V.kc_vocabulary(V.fitted_rows(Kt1(spark, d).split))
+    return V.kc_vocabulary(V.fitted_rows(Kt1(spark, d).prepared))
 
 
 @query("encode_rows", TUTOR + "SELECT seq, student_idx, problem_idx, skill_idx FROM enc")
@@ -263,7 +264,7 @@ x AS (SELECT interaction_id, unnest(kc_ids) AS k, generate_subscripts(kc_ids, 1)
 SELECT s.interaction_id, coalesce(string_agg(CAST(v.idx AS VARCHAR), ',' ORDER BY x.pos), '') AS tag_idxs
 FROM splitrows s LEFT JOIN x USING (interaction_id) LEFT JOIN v ON v.id = x.k GROUP BY s.interaction_id""")
 def encode_kcs(spark, d):
-    rows = Kt1(spark, d).split
+    rows = Kt1(spark, d).prepared
     vocab = V.kc_vocabulary(rows.where(F.col("split") == "train"))
     return V.encode_kcs(rows, vocab).select("interaction_id", text("tag_idxs").alias("tag_idxs"))
 
@@ -328,7 +329,7 @@ def execution_rows(spark, d):
 @query("leakage", KT1 + """
 SELECT learner_id FROM splitrows WHERE split IN ('train', 'valid') INTERSECT SELECT learner_id FROM splitrows WHERE split = 'test'""")
 def leakage(spark, d):
-    rows = Kt1(spark, d).split
+    rows = Kt1(spark, d).prepared
     return V.leaked_learners(V.fitted_rows(rows), rows.where(F.col("split") == "test"), "learner_id")
 
 
@@ -342,7 +343,7 @@ def missing_learners(spark, d):
 
 @query("fitted_population", KT1 + "SELECT DISTINCT learner_id FROM splitrows WHERE split IN ('train', 'valid')")
 def fitted_population(spark, d):
-    rows = Kt1(spark, d).split
+    rows = Kt1(spark, d).prepared
     return V.fitted_population(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid"))
 
 
@@ -491,7 +492,7 @@ def validate_duplicate_kc(spark, d):
 @query("validate_summary", None)
 def validate_summary(spark, d):
     k = Kt1(spark, d)
-    return L.validate(damaged(k), hot=k.hot).groupBy("code").agg(F.count(F.lit(1)).alias("issues"))
+    return L.validate(cut_lineage(damaged(k)), hot=k.hot).groupBy("code").agg(F.count(F.lit(1)).alias("issues"))
 
 
 @query("count_gate", KT1 + """
@@ -555,7 +556,7 @@ SELECT (SELECT count(*) FROM ev) AS raw_rows, count(*) AS eligible_rows, count(D
 def diagnostics_split(spark, d):
     k = Kt1(spark, d)
     raw = table(spark, d, "events").agg(F.count(F.lit(1)))
-    return D.split_diagnostics(k.split, raw, k.hot).withColumn("mean_bundle_size", rounded("mean_bundle_size"))
+    return D.split_diagnostics(k.prepared, raw, k.hot).withColumn("mean_bundle_size", rounded("mean_bundle_size"))
 
 
 @query("diagnostics_tutor", TUTOR + """
@@ -614,7 +615,7 @@ def row_json(spark, d):
 
 @query("split_tree_hash", KT1 + _TREE.format(group="split", line=_JSON, src="splitrows") + "SELECT g AS split, tree_hash, row_count FROM l3")
 def split_tree_hash(spark, d):
-    rows = Kt1(spark, d).split
+    rows = Kt1(spark, d).prepared
     return I.tree_hash(rows, I.row_json(rows), "split")
 
 
@@ -623,7 +624,7 @@ _PROV = "concat_ws(',', learner_id, source_row, item_id, solving_id, ts_ms, spli
 
 @query("provenance_tree_hash", KT1 + _TREE.format(group="split", line=_PROV, src="splitrows") + "SELECT g AS split, tree_hash, row_count FROM l3")
 def provenance_tree_hash(spark, d):
-    rows = Kt1(spark, d).split
+    rows = Kt1(spark, d).prepared
     return I.tree_hash(rows, I.provenance_line(rows), "split")
 
 
@@ -638,7 +639,7 @@ def vocab_tree_hash(spark, d):
 SELECT g AS split, tree_hash AS stored_hash, row_count AS stored_rows, CAST(NULL AS VARCHAR) AS observed_hash, CAST(NULL AS BIGINT) AS observed_rows
 FROM l3 WHERE g = 'test'""")
 def identity_mismatches(spark, d):
-    rows = Kt1(spark, d).split
+    rows = Kt1(spark, d).prepared
     stored = I.tree_hash(rows, I.row_json(rows), "split")
     return I.identity_mismatches(stored, stored.where(F.col("split") != "test"))
 

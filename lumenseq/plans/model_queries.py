@@ -24,9 +24,9 @@ def item_number() -> Column:
     return F.substring("item_id", 2, 20).cast("long")
 
 
-def with_difficulty(rows: DataFrame) -> DataFrame:
+def with_difficulty(rows: DataFrame, k: Kt1) -> DataFrame:
     """Fixed item difficulties in [-0.5, 0.5] so that evaluation has a known table."""
-    table = rows.select("item_id").distinct().select("item_id", ((F.pmod(item_number() * 7, F.lit(11)) - 5) / 10.0).alias("b"))
+    table = k.catalog.select(F.col("question_id").alias("item_id")).select("item_id", ((F.pmod(item_number() * 7, F.lit(11)) - 5) / 10.0).alias("b"))
     return R.attach_difficulty(rows, table)
 
 
@@ -51,7 +51,7 @@ pred AS (
 @query("irt_eval", _IRT + "SELECT interaction_id, " + number("theta") + " AS theta_pre, " + number("p") + " AS probability FROM pred")
 def irt_eval(spark, d):
     k = Kt1(spark, d)
-    trace = R.trace_of(R.replay(with_difficulty(k.contiguous), AbilityModel(), hot=k.hot))
+    trace = R.trace_of(R.replay(with_difficulty(k.contiguous, k), AbilityModel(), hot=k.hot))
     return trace.select("interaction_id", rounded("theta_pre").alias("theta_pre"), rounded("probability").alias("probability"))
 
 
@@ -59,7 +59,7 @@ def irt_eval(spark, d):
 SELECT learner_id, """ + number("theta") + """ AS theta FROM rec QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY rn DESC) = 1""")
 def irt_final_state(spark, d):
     k = Kt1(spark, d)
-    walked = R.replay(with_difficulty(k.contiguous), AbilityModel(), hot=k.hot)
+    walked = R.replay(with_difficulty(k.contiguous, k), AbilityModel(), hot=k.hot)
     return R.states_of(walked).select("learner_id", rounded(F.col("values")[0]).alias("theta"))
 
 
@@ -70,7 +70,7 @@ FROM pred JOIN e USING (learner_id, solving_id)""")
 def run_trace(spark, d):
     k = Kt1(spark, d)
     rows = k.contiguous
-    trace = R.trace_of(R.replay(with_difficulty(rows), AbilityModel(), hot=k.hot))
+    trace = R.trace_of(R.replay(with_difficulty(rows, k), AbilityModel(), hot=k.hot))
     full = R.run_trace(trace, W.runs(rows, hot=k.hot), 0.05, 1e-4)
     return full.select("interaction_id", "run_start", "run_end", rounded("e_group").alias("e_group"), rounded("theta_post").alias("theta_post"))
 
@@ -115,14 +115,14 @@ def _residual_columns(trace: DataFrame) -> DataFrame:
 @query("arkt_eval_token", _TOKEN)
 def arkt_eval_token(spark, d):
     k = Kt1(spark, d)
-    rows = with_difficulty(k.contiguous).withColumn("tag_idxs", F.col("kc_ids"))
+    rows = with_difficulty(k.contiguous, k).withColumn("tag_idxs", F.col("kc_ids"))
     return _residual_columns(R.trace_of(R.replay(rows, ResidualModel(), hot=k.hot)))
 
 
 @query("arkt_eval_skill", _SKILL)
 def arkt_eval_skill(spark, d):
     k = Kt1(spark, d)
-    rows = with_difficulty(k.contiguous).withColumn("tag_idxs", F.array(F.pmod(item_number(), F.lit(7))))
+    rows = with_difficulty(k.contiguous, k).withColumn("tag_idxs", F.array(F.pmod(item_number(), F.lit(7))))
     return _residual_columns(R.trace_of(R.replay(rows, ResidualModel(rule="skill_mean"), hot=k.hot)))
 
 
@@ -133,7 +133,7 @@ SELECT score, {number("avg(-(correct * ln(p) + (1 - correct) * ln(1 - p)))")} AS
 FROM two GROUP BY score""")
 def headline_and_global(spark, d):
     k = Kt1(spark, d)
-    rows = with_difficulty(k.contiguous).withColumn("tag_idxs", F.col("kc_ids"))
+    rows = with_difficulty(k.contiguous, k).withColumn("tag_idxs", F.col("kc_ids"))
     trace = R.trace_of(R.replay(rows, ResidualModel(), keep=("interaction_id", "correct", "metric_mask"), hot=k.hot))
     return metric_columns(M.headline_and_global(trace), "score").drop("auc")
 
@@ -143,7 +143,7 @@ SELECT interaction_id, """ + number("p") + " AS probability FROM pred JOIN (SELE
 def phase_chain(spark, d):
     """TRAIN states carried into VALID; bundles never straddle, so the pass is uninterrupted."""
     k = Kt1(spark, d)
-    rows = with_difficulty(k.split)
+    rows = with_difficulty(k.prepared, k)
     fitted = R.states_of(R.replay(rows.where(F.col("split") == "train"), AbilityModel(), hot=k.hot))
     valid = R.trace_of(R.replay(rows.where(F.col("split") == "valid"), AbilityModel(), fitted, hot=k.hot))
     return valid.select("interaction_id", rounded("probability").alias("probability"))
@@ -213,7 +213,7 @@ def metric_evidence(spark, d):
 
 def encoded_sequence(k: Kt1) -> tuple[DataFrame, int, int]:
     """Contiguous rows with dense item and KC indexes, and the two vocabulary sizes."""
-    rows = k.contiguous
+    rows = cut_lineage(k.contiguous)
     items = cut_lineage(V.vocabulary(rows, F.col("item_id")))
     kcs = cut_lineage(V.kc_vocabulary(rows))
     coded = V.encode_kcs(V.encode(rows, items, "item_id", "problem_idx"), kcs)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +10,10 @@ from lumenseq.plans.catalog import query, rounded
 from lumenseq.plans.model_queries import _IRT, _TOKEN, item_number
 from lumenseq.plans.oracle import KT1, number
 from lumenseq.plans.tables import Kt1, table
-from lumenseq.session import ensure_checkpoint_dir
+from lumenseq.session import scratch_path
 from lumenseq.streaming import online
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder inside the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """File-source stream over the events table, whether it is one file or a folder of parts."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
@@ -52,7 +44,7 @@ def _scores(spark, d, model, gap_ms=None):
     stream = canonical_stream(spark, d)
     if gap_ms is not None:
         stream = stream.withWatermark("event_time", "1 hour")
-    out = online.run_available(online.online_scores(stream, model, gap_ms=gap_ms), scratch(spark))
+    out = online.run_available(online.online_scores(stream, model, gap_ms=gap_ms), scratch_path(spark, "stream"))
     return out.select("interaction_id", rounded("probability").alias("probability"), F.col("late").cast("long").alias("late"))
 
 
@@ -84,14 +76,14 @@ def stream_issues(spark, d):
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("learner_id"), F.lit("q").alias("item_id"), F.lit("b").alias("bundle_id"),
         F.lit(1).cast("long").alias("correct"), F.when(F.col("event_id") % 997 == 4, -1).otherwise(F.col("event_id")).cast("long").alias("order"),
         F.array().cast("array<bigint>").alias("kc_ids"), F.lit(None).cast("string").alias("split"), F.lit(1.0).alias("timestamp"))
-    return online.run_available(online.online_issues(rows), scratch(spark)).select("code", "learner_id", "interaction_id")
+    return online.run_available(online.online_issues(rows), scratch_path(spark, "stream")).select("code", "learner_id", "interaction_id")
 
 
 @query("stream_dedup", """
 SELECT DISTINCT user_id || '-' || event_type AS interaction_id FROM events""")
 def stream_dedup(spark, d):
     rows = event_stream(spark, d).select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("interaction_id"), F.col("ts").cast("timestamp").alias("t"))
-    return online.run_available(online.online_dedup(rows, "t", "40000 days"), scratch(spark)).select("interaction_id")
+    return online.run_available(online.online_dedup(rows, "t", "40000 days"), scratch_path(spark, "stream")).select("interaction_id")
 
 
 _WINDOW = KT1 + """
@@ -103,7 +95,7 @@ FROM s GROUP BY w"""
 def _windowed(spark, d, width, slide=None):
     rows = canonical_stream(spark, d).withColumn("metric_mask", F.lit(True)).withColumn("probability", 1.0 / (2 + item_number() % 5))
     out = online.windowed_metrics(rows, "event_time", "1 hour", width, slide)
-    return online.run_available(out, scratch(spark), "complete").select(
+    return online.run_available(out, scratch_path(spark, "stream"), "complete").select(
         F.unix_millis("window_start").alias("window_start"), rounded("nll").alias("nll"), rounded("brier").alias("brier"), "n")
 
 

@@ -95,6 +95,11 @@ class Kt1:
     def split(self) -> DataFrame:
         return P.solving_split(self.contiguous, self.hot)
 
+    @cached_property
+    def prepared(self) -> DataFrame:
+        """The split rows written once, for queries that read them several times."""
+        return cut_lineage(self.split)
+
 
 def tutor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-attempt tutor log shape from orders, lineitem and part, as text columns."""
