@@ -79,7 +79,8 @@ def line_quality(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with bad lines gone and ``n_chars`` counted anew."""
-    rows = with_quality(docs).where("_quality.kept")
+    # the row number keeps the optimizer from copying the whole rule tree into the filter, once for each use of a part of it
+    rows = with_quality(docs).withColumn("_row", F.monotonically_increasing_id()).where("_quality.kept AND _row >= 0")
     new = {"text": F.col("_quality.clean_text")} | ({"n_chars": F.length("_quality.clean_text").cast("long")} if "n_chars" in docs.columns else {})
     return rows.withColumns(new).select(*docs.columns)
 
