@@ -24,6 +24,8 @@ from lumenseq.session import cut_lineage
 SEED = 42
 #: Fingerprints of a block's two sides.
 OWNERS, VISITORS = 8_192, 65_536
+#: Tasks that a class of exact copies is dealt over.
+SALTS = 32
 _SIDE = 17  # a quarter has 0 to 16 bits
 
 
@@ -131,15 +133,20 @@ def simhash_components(docs: DataFrame, radius: int = 2, words_each: int = 3) ->
     null; an empty table gives no rows; other columns are not read.
     """
     prints = cut_lineage(fingerprints(docs, words_each))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     joined = stars(near_links(prints.select("fp").distinct(), radius))
     roots = joined.union(joined.select(F.col("b").alias("a"), "b").distinct())  # every linked fingerprint with its root
     linked = classes.join(roots.withColumnRenamed("a", "fp"), "fp")
     smallest = linked.groupBy("b").agg(F.min("least").alias("component_id"))
     linked = linked.join(smallest, "b").select("fp", "component_id")
-    names = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(names, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = classes.join(linked, "fp", "left").select("fp", "n", "least", F.coalesce("component_id", "least").alias("component_id"))
+    alone = names.where("n = 1").select(F.col("least").alias("doc_id"), "fp", "component_id")
+    # exact copies may be a third of all rows: each class of copies is dealt over several tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    copies = names.where("n > 1").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copied = prints.withColumn("salt", salt).join(copies, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    return alone.union(copied).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
 
 def representatives(docs: DataFrame, radius: int = 2, words_each: int = 3) -> DataFrame:
