@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lumenseq.llm.common import texts_in_slices
 
 #: Labelled texts per language that training takes about, languages at most, hashed rows, size of an embedding.
-PER_LANGUAGE, MOST_LANGUAGES, ROWS, DIM = 250, 512, 1 << 15, 16
+PER_LANGUAGE, MOST_LANGUAGES, ROWS, DIM = 400, 512, 1 << 15, 16
 #: Words a worker remembers.
 CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +53,7 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray, str]], languages: list[str], epochs: int = 6, rate: float = 2.0, seed: int = 3) -> Model:
+def train(samples: list[tuple[np.ndarray, np.ndarray, str]], languages: list[str], epochs: int = 8, rate: float = 2.0, seed: int = 3) -> Model:
     """``samples`` has hashed rows, their counts and the language of each text."""
     rng = np.random.default_rng(seed)
     place = {name: i for i, name in enumerate(languages)}
