@@ -99,6 +99,8 @@ def train(rows: DataFrame, difficulty: DataFrame | None = None, states: DataFram
         current = done.where("kind = 0").select(*body, F.col("b_new").alias("b"), "_old", "theta_pre")
         step = float(current.agg(F.max(F.abs(F.col("b") - F.col("_old")))).first()[0] or 0.0)
         items = states_of(done, "item_id")
+    if learn_b and step > tolerance:
+        raise RuntimeError(f"training has not settled after {sweeps} sweeps: last step {step:.3g}, wanted {tolerance:.3g}; raise max_sweeps")
     if not learn_b:
         items = start_b
     table = items.select("item_id", F.col("values")[0].alias("b")) if items is not None else None

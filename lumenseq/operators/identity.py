@@ -21,7 +21,6 @@ METRIC_EVIDENCE_VERSION = "external_valid_metric_evidence_v1"
 
 EXACT_INTEGER_LIMIT = 2**53
 TREE_FANOUT = 8192
-STREAM_HASH_LIMIT = 5_000_000
 _UPPER_HEX_CONTROLS = (0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F)
 
 
@@ -113,34 +112,6 @@ def _packed() -> Column:
     return F.sha2(F.concat_ws("\n", ordered), 256).alias("_h")
 
 
-def stream_hash(df: DataFrame, line: Column, order: str = "seq", trailing: bool = True) -> str:
-    """SHA-256 over the ordered lines, byte-compatible with a serial digest.
-
-    A serial digest cannot be split, so this is only for checking a recorded
-    hash of a small dataset and refuses more than STREAM_HASH_LIMIT rows.
-    """
-    lines = df.select(F.col(order).alias("_o"), line.alias("_line"))
-    if lines.limit(STREAM_HASH_LIMIT + 1).count() > STREAM_HASH_LIMIT:
-        raise ValueError(f"more than {STREAM_HASH_LIMIT} rows: use tree_hash")
-    digest = hashlib.sha256()
-    first = True
-    for row in lines.orderBy("_o").toLocalIterator():
-        digest.update(("" if first or trailing else "\n").encode())
-        digest.update((row["_line"] + ("\n" if trailing else "")).encode("utf-8"))
-        first = False
-    return digest.hexdigest()
-
-
-def ordered_ids_hash(vocab: DataFrame) -> str:
-    """SHA-256 of vocabulary ids joined by LF in index order (small vocabularies)."""
-    return stream_hash(vocab, F.col("id").cast("string"), "idx", trailing=False)
-
-
-def file_lines_hash(files: DataFrame) -> str:
-    """SHA-256 of ``name<TAB>sha256`` lines in name order."""
-    return stream_hash(files, F.concat_ws("\t", "name", "sha256"), "name")
-
-
 def _document(pairs: Sequence[tuple[str, object]]) -> str:
     return json.dumps(dict(pairs), ensure_ascii=False, separators=(",", ":"))
 

@@ -96,25 +96,29 @@ def deterministic_losses(df: DataFrame, p: str = "probability", learner: str = "
 def early_stop(epochs: DataFrame, min_delta: float, patience: int, key: str = "run") -> DataFrame:
     """Replay the early-stop rule over per-epoch validation rows of each run.
 
-    One row per epoch, so a group holds at most the configured epoch count.
+    One row per epoch, so a group holds at most the configured epoch count. Columns ``nll`` and ``brier``, where present,
+    give ``best_nll`` and ``best_brier``: their values at the best epoch.
     """
+    losses = [c for c in ("nll", "brier") if c in epochs.columns]
 
     def track(pdf):
         pdf = pdf.sort_values("epoch").reset_index(drop=True)
         best, best_epoch, waited, stopped = -1.0, -1, 0, False
+        best_losses = [None] * len(losses)
         rows = []
-        for epoch, value in zip(pdf["epoch"], pdf["auc"]):
+        for i, (epoch, value) in enumerate(zip(pdf["epoch"], pdf["auc"])):
             if stopped:
                 break
             if value > best + min_delta:
                 best, best_epoch, waited = float(value), int(epoch), 0
+                best_losses = [float(pdf[c][i]) for c in losses]
             else:
                 waited += 1
             stopped = waited >= patience
-            rows.append((best, best_epoch, waited, stopped))
+            rows.append((best, best_epoch, waited, stopped, *best_losses))
         out = pdf.iloc[: len(rows)][[key, "epoch", "auc"]].copy()
-        out[["best_auc", "best_epoch", "waited", "stop"]] = rows
+        out[["best_auc", "best_epoch", "waited", "stop", *[f"best_{c}" for c in losses]]] = rows
         return out
 
-    schema = f"{key} {epochs.schema[key].dataType.simpleString()}, epoch long, auc double, best_auc double, best_epoch long, waited long, stop boolean"
+    schema = f"{key} {epochs.schema[key].dataType.simpleString()}, epoch long, auc double, best_auc double, best_epoch long, waited long, stop boolean" + "".join(f", best_{c} double" for c in losses)
     return epochs.groupBy(key).applyInPandas(track, schema)

@@ -20,9 +20,9 @@ def fractional_bundle_split(df: DataFrame, train_fraction: float, valid_fraction
                             hot: HotKeys | None = None) -> DataFrame:
     """Whole bundles in first-appearance order, truncated fractions, rest is test."""
     if train_fraction < 0 or valid_fraction < 0:
-        raise ValueError("split fractions must be non-negative")
+        raise ValueError("a split fraction is below zero")
     if train_fraction + valid_fraction > 1:
-        raise ValueError("train_fraction + valid_fraction must be <= 1")
+        raise ValueError("train and valid fractions add up to more than one")
     table = bundle_table(df, "first_seq", hot)
     n = F.col("n_bundles")
     train = (n * F.lit(float(train_fraction))).cast("long")

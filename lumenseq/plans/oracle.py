@@ -12,7 +12,7 @@ WITH RECURSIVE ev AS (
   FROM events),
 kc AS (
   SELECT p_partkey, p_type, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS x, CAST(p_size AS BIGINT) AS y
-  FROM part WHERE p_partkey < 90),
+  FROM part WHERE p_partkey % 10 <> 9),
 cat AS (
   SELECT 'q' || p_partkey AS item_id, p_partkey AS item_no,
          CASE WHEN p_type = 'SMALL' THEN CAST([] AS BIGINT[]) WHEN p_type = 'ECONOMY' THEN [x, y, x] ELSE [x, y] END AS kc_ids,

@@ -54,7 +54,7 @@ class Kt1:
     @cached_property
     def questions(self) -> DataFrame:
         pair = "concat_ws(';', regexp_extract(p_brand, '([0-9]+)', 1), p_size)"
-        return table(self.spark, self.sf_dir, "part").where("p_partkey < 90").selectExpr(
+        return table(self.spark, self.sf_dir, "part").where("p_partkey % 10 <> 9").selectExpr(
             "concat('q', p_partkey) as question_id",
             f"""CASE p_type WHEN 'SMALL' THEN '-1' WHEN 'ECONOMY' THEN concat_ws(';', {pair}, regexp_extract(p_brand, '([0-9]+)', 1))
                 ELSE {pair} END as tags""",

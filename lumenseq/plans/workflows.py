@@ -234,6 +234,6 @@ def smoke(rows: DataFrame, kind: str, path: str, n: int = 24, rule: str = "token
     _, residual = _model(kind, rule)
     few = cut_lineage(ordinal(A.first_rows(rows, n), ["seq"], "seq"))
     fit = train(few, residual=residual)
-    trace = R.trace_of(fit.walked).join(few.select("seq", "bundle_id", "split"), "seq")
-    sinks.write_predictions(trace, path, kind, 0, "smoke", "smoke")
+    trace = R.trace_of(fit.walked).join(few.select("seq", "bundle_id", "split", "order", "kc_ids"), "seq")
+    sinks.write_predictions(trace, path, kind, 0)
     return _scores(trace)

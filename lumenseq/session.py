@@ -18,12 +18,14 @@ def hot_key_rows(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; pick one only when none is named."""
+    """Use the folder the cluster names; pick one only in local mode, where all is one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    if not named and not sc.master.startswith("local["):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))  # one machine: its own folder is shared
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:

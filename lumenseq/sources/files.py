@@ -134,11 +134,15 @@ def canonical_from_lines(lines: DataFrame) -> DataFrame:
     known = F.array(*[F.lit(c) for c in CANONICAL_FIELDS])
     row = F.from_json("value", loose, {"mode": "PERMISSIVE"})
     raw = lambda name: F.get_json_object("value", f"$.{name}")
+    parsed = F.try_parse_json("value")
     wrong_type = F.lit(False)
     for f in fields:
         absent = F.col(f"_r.{f.name}").isNull()
         nullable = f.name in ("timestamp", "split")
         wrong_type = wrong_type | (absent & raw(f.name).isNotNull() if nullable else absent)
+        if isinstance(f.dataType, T.StringType):  # from_json turns any JSON value into text; the variant knows what it was
+            kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{f.name}", "variant"))
+            wrong_type = wrong_type | ~F.coalesce(kind.isin("STRING", *(["VOID"] if nullable else [])), F.lit(nullable))
     problem = (
         F.when(F.col("value") == "", "is blank")
         .when(keys.isNull(), "is not one JSON object")
@@ -222,12 +226,12 @@ def interactions_from_json(df: DataFrame) -> DataFrame:
 
 
 def toy_interactions(spark: SparkSession) -> DataFrame:
-    """Seven-row fixture: two learners, five bundles, zero to three KCs per row."""
+    """Small fixture: three learners, six bundles, rows with no, one or several KCs."""
     spec = [
-        ("L1", 0, "Q1", 1, [10], 1000.0, "B1", "train"), ("L1", 1, "Q2", 0, [10, 20, 30], 1000.0, "B1", "train"),
-        ("L1", 2, "Q3", 1, [], 1500.0, "B2", "train"), ("L1", 3, "Q4", 1, [20], 2000.0, "B3", "valid"),
-        ("L2", 0, "Q1", 1, [10], 100.0, "B1", "train"), ("L2", 1, "Q5", 0, [40, 50], 200.0, "B2", "train"),
-        ("L2", 2, "Q6", 1, [], 250.0, "B2", "train"),
+        ("ann", 0, "fractions-1", 0, [3], 50.0, "a", "train"), ("ann", 1, "fractions-2", 1, [3, 8], 50.0, "a", "train"),
+        ("ann", 2, "angles-1", 1, [], 90.5, "b", "train"), ("ann", 3, "angles-2", 0, [11, 3, 8], 120.0, "c", "valid"),
+        ("bob", 0, "fractions-1", 1, [3], 7.0, "a", "train"), ("bob", 1, "roots-1", 0, [21], 9.25, "b", "train"),
+        ("eve", 0, "roots-1", 1, [], 400.0, "a", "train"),
     ]
     rows = [(i, f"{u}-{o}", u, q, y, k, o, ts, f"{u}-{b}", s, True) for i, (u, o, q, y, k, ts, b, s) in enumerate(spec)]
     return spark.createDataFrame(rows, canonical_schema())

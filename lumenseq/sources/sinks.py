@@ -15,9 +15,10 @@ STATE_FORMAT = "learner_state_tables_v1"
 PREPARED_COLUMNS = (
     "interaction_id", "learner_id", "item_id", "correct", "kc_ids", "order", "timestamp", "bundle_id", "split", "metric_mask",
 )
+# The columns of a prediction table, in order.
 PREDICTION_COLUMNS = (
-    "interaction_id", "learner_id", "item_id", "bundle_id", "split", "correct", "probability", "metric_mask",
-    "model", "seed", "run_id", "dataset_id",
+    "interaction_id", "learner_id", "item_id", "bundle_id", "order", "split", "correct", "probability", "metric_mask",
+    "model", "seed", "kc_ids",
 )
 
 
@@ -32,10 +33,9 @@ def write_splits(df: DataFrame, path: str, extra: tuple[str, ...] = ("source_row
     ordered.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def write_predictions(scored: DataFrame, path: str, model: str, seed: int, run_id: str, dataset_id: str, mode: str = "errorifexists") -> None:
-    tagged = scored.select(
-        "seq", *PREDICTION_COLUMNS[:8], F.lit(model).alias("model"), F.lit(seed).cast("long").alias("seed"),
-        F.lit(run_id).alias("run_id"), F.lit(dataset_id).alias("dataset_id"))
+def write_predictions(scored: DataFrame, path: str, model: str, seed: int, mode: str = "errorifexists") -> None:
+    """Scored rows with the model's name and seed; rows keep their ``seq`` as well."""
+    tagged = scored.withColumns({"model": F.lit(model), "seed": F.lit(seed).cast("long")}).select("seq", *PREDICTION_COLUMNS)
     tagged.write.mode(mode).parquet(path)
 
 
@@ -114,7 +114,7 @@ def publish_if_changed(spark: SparkSession, destination: str, identity: dict, wr
 def save_state(states: DataFrame, difficulty: DataFrame, path: str, model_kind: str, rule: str = "token", eta: float = ETA_R) -> None:
     """Ability, difficulty and residual tables plus a one-row header."""
     if model_kind not in ("irt", "ar_kt"):
-        raise SourceError(f"model_kind must be irt or ar_kt, got {model_kind!r}")
+        raise SourceError(f"no state format for model {model_kind!r}: irt and ar_kt have one")
     spark = states.sparkSession
     states.where("slot < 0").select("learner_id", F.col("values")[0].alias("theta")).write.parquet(f"{path}/theta")
     difficulty.select("item_id", "b").write.parquet(f"{path}/b")

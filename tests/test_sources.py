@@ -123,7 +123,11 @@ def test_canonical_round_trip(spark, tmp_path):
     (lambda x: x[:2] + [""] + x[2:], "line 3 is blank"),
     (lambda x: ["{oops"] + x[1:], "line 1"),
     (lambda x: [x[0].replace('"order"', '"rank"')] + x[1:], "unknown fields"),
-    (lambda x: [x[0].replace('"correct":1', '"correct":"yes"')] + x[1:], "wrong type"),
+    (lambda x: [x[0].replace('"correct":0', '"correct":"yes"')] + x[1:], "wrong type"),
+    (lambda x: [x[0].replace('"interaction_id":"ann-0"', '"interaction_id":7')] + x[1:], "line 1 has a field of the wrong type"),
+    (lambda x: [x[0].replace('"learner_id":"ann"', '"learner_id":true')] + x[1:], "wrong type"),
+    (lambda x: [x[0].replace('"item_id":"fractions-1"', '"item_id":{"a":1}')] + x[1:], "wrong type"),
+    (lambda x: [x[0].replace('"split":"train"', '"split":5')] + x[1:], "wrong type"),
 ])
 def test_canonical_line_errors(spark, tmp_path, edit, text):
     directory, _ = canonical_dir(spark, tmp_path, edit)
@@ -153,10 +157,9 @@ def test_ordered_ids_and_hashes(spark, tmp_path):
     import hashlib
     (tmp_path / "ids.txt").write_text("b\na\nc\n")
     ids = files.read_ordered_ids(spark, str(tmp_path / "ids.txt"))
-    assert I.ordered_ids_hash(ids) == hashlib.sha256(b"b\na\nc").hexdigest()
+    assert [r["id"] for r in ids.orderBy("idx").collect()] == ["b", "a", "c"]
     got = {r["name"]: r["sha256"] for r in files.hash_files(spark, str(tmp_path), "*.txt").collect()}
     assert got == {"ids.txt": hashlib.sha256(b"b\na\nc\n").hexdigest()}
-    assert I.file_lines_hash(files.hash_files(spark, str(tmp_path), "*.txt")) == hashlib.sha256(f"ids.txt\t{got['ids.txt']}\n".encode()).hexdigest()
     (tmp_path / "dup.txt").write_text("b\nb\n")
     with pytest.raises(files.SourceError):
         files.read_ordered_ids(spark, str(tmp_path / "dup.txt"))
