@@ -62,12 +62,38 @@ def canonical_events(spark, d):
 
 
 @query("drop_reason_stats", KT1 + """
-SELECT drop_reason AS reason, count(*) AS "rows", CAST(CASE drop_reason WHEN 'user_answer_empty' THEN 2 ELSE 4 END AS BIGINT) AS position
+SELECT drop_reason AS reason, count(*) AS "rows", CAST(list_position(['user_answer_minus_one', 'user_answer_empty', 'user_answer_unexpected', 'missing_metadata'], drop_reason) AS BIGINT) AS position
 FROM marked WHERE drop_reason IS NOT NULL GROUP BY drop_reason""")
 def drop_reason_stats(spark, d):
     return as_long(C.reason_counts(Kt1(spark, d).marked, C.KT1_REASONS), "position")
 
 
+@query("drop_reasons_damaged", KT1 + """,
+bad AS (
+  SELECT CASE WHEN seq % 23 = 0 THEN '' ELSE learner_id END AS learner_id, CASE WHEN seq % 23 = 1 THEN '' ELSE item_id END AS item_id,
+         CASE WHEN seq % 23 = 2 THEN 'x' ELSE CAST(solving_id AS VARCHAR) END AS solving, CASE WHEN seq % 23 = 3 THEN '1.5' ELSE CAST(ts_ms AS VARCHAR) END AS ts,
+         CASE seq % 23 WHEN 4 THEN '-1' WHEN 5 THEN 'e' ELSE user_answer END AS answer
+  FROM ev),
+named AS (
+  SELECT CASE WHEN bad.learner_id = '' THEN 'empty_user_id' WHEN bad.item_id = '' THEN 'empty_question_id'
+              WHEN solving = 'x' THEN 'missing_solving_id' WHEN ts = '1.5' THEN 'invalid_timestamp'
+              WHEN answer = '-1' THEN 'user_answer_minus_one' WHEN answer = '' THEN 'user_answer_empty' WHEN answer = 'e' THEN 'user_answer_unexpected'
+              WHEN cat.item_id IS NULL THEN 'missing_metadata' WHEN cat.item_no % 10 = 8 THEN 'missing_correct_answer' END AS reason
+  FROM bad LEFT JOIN cat USING (item_id))
+SELECT reason, count(*) AS "rows", CAST(list_position(['user_answer_minus_one', 'user_answer_empty', 'user_answer_unexpected', 'missing_metadata',
+       'missing_solving_id', 'empty_question_id', 'empty_user_id', 'invalid_timestamp', 'missing_correct_answer'], reason) AS BIGINT) AS position
+FROM named WHERE reason IS NOT NULL GROUP BY reason""")
+def drop_reasons_damaged(spark, d):
+    """All nine reasons: every rule is broken by some rows of a damaged log or catalog."""
+    k = Kt1(spark, d)
+    spoil = lambda c, n, v: F.when(F.col("seq") % 23 == n, v).otherwise(F.col(c))
+    raw = k.raw.withColumns({
+        "user_id": spoil("user_id", 0, ""), "question_id": spoil("question_id", 1, ""), "solving_id": spoil("solving_id", 2, "x"),
+        "timestamp": spoil("timestamp", 3, "1.5"), "user_answer": F.when(F.col("seq") % 23 == 5, "e").otherwise(spoil("user_answer", 4, "-1"))})
+    items = k.questions.withColumn("correct_answer", F.when(F.substring("question_id", -1, 1) == "8", "").otherwise(F.col("correct_answer")))
+    return as_long(C.reason_counts(C.kt1_drop_reason(raw, C.question_catalog(items)), C.KT1_REASONS), "position")
+
+
 @query("filter_stats", KT1 + """
 SELECT count(*) AS raw_rows, count(*) FILTER (drop_reason IS NULL) AS eligible_rows,
        count(*) FILTER (drop_reason LIKE 'user_answer%') AS dropped_invalid_user_answer,
