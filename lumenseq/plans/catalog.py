@@ -524,7 +524,9 @@ def validate_summary(spark, d):
 @query("count_gate", KT1 + """
 SELECT 'eligible_rows' AS counter, count(*) AS observed, CAST(-1 AS BIGINT) AS expected FROM canon""")
 def count_gate(spark, d):
-    return L.count_gate(C.filter_stats(Kt1(spark, d).marked), {"eligible_rows": -1})
+    """One counter that differs from what is expected and one that doesn't, of which only the first is reported."""
+    n = table(spark, d, "events").count()
+    return L.count_gate(C.filter_stats(Kt1(spark, d).marked), {"eligible_rows": -1, "raw_rows": n})
 
 
 # --- diagnostics ---------------------------------------------------------------------------
@@ -720,15 +722,27 @@ def metrics_exact_sums(spark, d):
     return out.select(rounded("nll").alias("nll"), rounded("brier").alias("brier"), "n")
 
 
-@query("metrics_gate", KT1 + _COUNT + f", ms AS (SELECT * FROM scored WHERE {_MASK})" + _AUC.format(g="1", src="ms") + f"SELECT {_AUC_OUT}, CAST(0 AS BIGINT) AS ok FROM m")
+@query("metrics_gate", KT1 + _COUNT + f", ms AS (SELECT * FROM scored WHERE {_MASK})" + _AUC.format(g="1", src="ms") + f"SELECT {_AUC_OUT}, unnest([0, 1])::BIGINT AS ok FROM m")
 def metrics_gate(spark, d):
-    out = M.within_tolerance(M.masked_metrics(scored_rows(spark, d)), {"nll": 0.0, "brier": 0.0, "auc": float("nan")})
-    return metric_columns(out, "ok").withColumn("ok", F.col("ok").cast("long"))
-
-
-@query("early_stop")
+    """Both answers of the gate: expected values that can't be met, and those of the rows themselves."""
+    found = cut_lineage(M.masked_metrics(scored_rows(spark, d)))
+    met = found.select("nll", "brier", "auc").first().asDict()
+    gates = [M.within_tolerance(found, want) for want in ({"nll": 0.0, "brier": 0.0, "auc": float("nan")}, met)]
+    return metric_columns(gates[0].union(gates[1]), "ok").withColumn("ok", F.col("ok").cast("long"))
+
+
+@query("early_stop", KT1 + """,
+ep AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k
+       FROM (SELECT learner_id AS run, solving_id AS epoch, avg(correct) AS auc, CAST(count(*) AS DOUBLE) AS nll, CAST(min(ord) AS DOUBLE) AS brier FROM canon GROUP BY 1, 2)),
+st AS (SELECT run, k, epoch, auc, auc AS best_auc, epoch AS best_epoch, CAST(0 AS BIGINT) AS waited, false AS stop, nll AS best_nll, brier AS best_brier FROM ep WHERE k = 1
+       UNION ALL
+       SELECT e.run, e.k, e.epoch, e.auc, CASE WHEN up THEN e.auc ELSE best_auc END, CASE WHEN up THEN e.epoch ELSE best_epoch END,
+              CASE WHEN up THEN 0 ELSE waited + 1 END, NOT up AND waited + 1 >= 5, CASE WHEN up THEN e.nll ELSE best_nll END, CASE WHEN up THEN e.brier ELSE best_brier END
+       FROM (SELECT st.*, ep.auc > best_auc + 0.001e0 AS up FROM st JOIN ep ON ep.run = st.run AND ep.k = st.k + 1 WHERE NOT stop) s JOIN ep e ON e.run = s.run AND e.k = s.k + 1)
+SELECT run, epoch, auc, best_auc, best_epoch, waited, stop, best_nll, best_brier FROM st""")
 def early_stop(spark, d):
     """Daily success rate per learner read as an epoch curve, one run per learner."""
     k = Kt1(spark, d)
-    epochs = k.canonical.groupBy(F.col("learner_id").alias("run"), F.col("solving_id").alias("epoch")).agg(F.avg("correct").alias("auc"))
+    epochs = k.canonical.groupBy(F.col("learner_id").alias("run"), F.col("solving_id").alias("epoch")).agg(
+        F.avg("correct").alias("auc"), F.count(F.lit(1)).cast("double").alias("nll"), F.min("order").cast("double").alias("brier"))  # any two carried columns
     return M.early_stop(epochs, 0.001, 5)

@@ -14,7 +14,7 @@ from lumenseq.operators import vocab as V
 from lumenseq.operators import windows as W
 from lumenseq.operators.fit import train
 from lumenseq.operators.models import AbilityModel, CountModel, MemoryModel, RecurrentModel, ResidualModel, check_model
-from lumenseq.plans.catalog import _COUNT, metric_columns, query, rounded, scored_rows
+from lumenseq.plans.catalog import _AUC, _AUC_OUT, _COUNT, metric_columns, query, rounded, scored_rows
 from lumenseq.plans.oracle import KT1, SIGMOID, TUTOR, number
 from lumenseq.plans.tables import Kt1, Tutor
 from lumenseq.session import cut_lineage
@@ -128,14 +128,12 @@ def arkt_eval_skill(spark, d):
 
 @query("headline_and_global", _TOKEN.replace("SELECT interaction_id, round", "SELECT interaction_id, round", 1).rsplit("SELECT interaction_id", 1)[0] + f"""
 , two AS (SELECT 'headline' AS score, correct, {SIGMOID.format("z + r_bar")} AS p FROM pred JOIN contig USING (interaction_id)
-          UNION ALL SELECT 'global', correct, {SIGMOID.format("z")} FROM pred JOIN contig USING (interaction_id))
-SELECT score, {number("avg(-(correct * ln(p) + (1 - correct) * ln(1 - p)))")} AS nll, {number("avg((p - correct) * (p - correct))")} AS brier, count(*) AS n
-FROM two GROUP BY score""")
+          UNION ALL SELECT 'global', correct, {SIGMOID.format("z")} FROM pred JOIN contig USING (interaction_id))""" + _AUC.format(g="score", src="two") + f"SELECT g AS score, {_AUC_OUT} FROM m")
 def headline_and_global(spark, d):
     k = Kt1(spark, d)
     rows = with_difficulty(k.contiguous, k).withColumn("tag_idxs", F.col("kc_ids"))
     trace = R.trace_of(R.replay(rows, ResidualModel(), keep=("interaction_id", "correct", "metric_mask"), hot=k.hot))
-    return metric_columns(M.headline_and_global(trace), "score").drop("auc")
+    return metric_columns(M.headline_and_global(trace), "score")
 
 
 @query("phase_chain", _IRT + """
