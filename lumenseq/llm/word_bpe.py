@@ -15,10 +15,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Below this code point a text is already in NFC and lower-casing has no context.
-PLAIN_BELOW = 0x250
+#: Below this code point a text is already in NFC, and lower-casing has no context and leads to nothing above it (bar dotted I).
+PLAIN_BELOW = 0x180
 #: Entries of a worker's cache; a full cache is emptied.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 
 
 def _class(kind: str) -> str:
@@ -52,6 +52,27 @@ def pieces(text: str) -> list[str] | None:
     return None if BY_LIBRARY.search(text) else PIECE.findall(text.lower())
 
 
+@lru_cache(maxsize=2)
+def model(path: str):
+    return library(path).model
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it prints, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def encode_piece(path: str, piece: str) -> list[int]:
+    """Ids of one pre-token of ``pieces``, by the library's model alone: it is already normalised and split."""
+    letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_LETTERS)
+    return [token.id for token in model(path).tokenize(letters)]
+
+
 def encode_whole(path: str, text: str) -> list[int]:
     return library(path).encode(text, add_special_tokens=False).ids
 
@@ -71,9 +92,9 @@ class IdCache:
         if len(self.index) + len(missing) > self.entries:
             self._clear()
         new = [p for p in missing if p not in self.index]
-        for piece, found in zip(new, library(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
+        for piece in new:
             self.index[piece] = len(self.starts) - 1
-            self.flat.extend(found.ids)
+            self.flat.extend(encode_piece(self.path, piece))
             self.starts.append(len(self.flat))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -96,3 +117,9 @@ class IdCache:
             out.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)])
         del flat, starts  # views lock the arrays against growing
         return out
+
+
+@lru_cache(maxsize=2)
+def worker_cache(path: str) -> IdCache:
+    """The cache of this Python worker, which outlives a task."""
+    return IdCache(path)

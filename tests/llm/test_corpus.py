@@ -306,3 +306,8 @@ def test_pipeline_stages(spark, tmp_path):
     total = sum(len(tokens(r["text"])) + 1 for r in d.collect())
     assert e.agg(F.sum("length")).first()[0] == total
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == total
+
+
+def test_every_plain_character_is_split_as_the_library_does():
+    texts = [f"{chr(i)}x{chr(i) * 3} a{chr(i)}'s" for i in range(1, 0x300)]
+    assert [x.tolist() for x in word_bpe.IdCache(word_bpe.default_path()).encode(texts)] == [tokens(t) for t in texts]
