@@ -72,7 +72,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, linear: flo
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.IdCache(path)
+        cache = W.worker_cache(path)
         sequence = TaskContext.get().partitionId() << 40
         ids: list[np.ndarray] = []
         names: list = []
