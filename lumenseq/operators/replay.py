@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from lumenseq.operators import vocab as V
 from lumenseq.operators.layout import HotKeys, hot_keys, is_hot
 from lumenseq.operators.models import BundleModel
 from lumenseq.operators.windows import runs
@@ -336,6 +337,21 @@ def attach_difficulty(rows: DataFrame, difficulty: DataFrame, item: str = "item_
     )
 
 
+def phase_input(rows: DataFrame, phase: str, learners: DataFrame, items: DataFrame, difficulty: DataFrame | None = None) -> DataFrame:
+    """Rows of one split as a psychometric model takes them, with the difficulty ``b`` of each row where a table is given.
+
+    Learners outside the vocabulary go. TRAIN and VALID also lose masked rows and rows of unknown items; TEST keeps an unknown
+    item, unscored, under the first vocabulary item, whose difficulty therefore moves the learner's ability.
+    """
+    part = rows.where(F.col("split") == phase)
+    coded = V.encode(V.encode(part, learners, "learner_id", "student_idx"), items, "item_id", "problem_idx")
+    kept = V.kt1_phase_rows(coded, phase)
+    if difficulty is None:
+        return kept.select(*rows.columns)
+    by_index = V.encode(difficulty, items, "item_id", "problem_idx").select("problem_idx", "b")
+    return kept.join(by_index, "problem_idx", "left").select(*rows.columns, F.coalesce("b", F.lit(0.0)).alias("b"))
+
+
 def run_trace(trace: DataFrame, with_runs: DataFrame, theta_lr: float, theta_l2: float, eta: float = 0.0,
               tags: str | None = None) -> DataFrame:
     """Add run-level columns: span, group error, KC token counts, post-update states."""

@@ -147,6 +147,45 @@ def phase_chain(spark, d):
     return valid.select("interaction_id", rounded("probability").alias("probability"))
 
 
+_TEST = KT1 + f"""
+, cohort AS (SELECT *, seq % 10 <> 3 AS mask FROM splitrows WHERE user_no % 11 <> 5),
+vocab AS (SELECT DISTINCT item_id, item_no FROM splitrows WHERE split <> 'test' AND item_no % 13 <> 3),
+rr AS (SELECT interaction_id, learner_id, solving_id, split, correct, mask AND v.item_id IS NOT NULL AS mask,
+              (coalesce(v.item_no, (SELECT arg_min(item_no, item_id) FROM vocab)) * 7 % 11 - 5) / 10.0e0 AS b
+       FROM cohort LEFT JOIN vocab v USING (item_id) WHERE split = 'test' OR (mask AND v.item_id IS NOT NULL)),
+runs AS (SELECT learner_id, dense_rank() OVER (PARTITION BY learner_id ORDER BY solving_id) - 1 AS rn, solving_id,
+         list(struct_pack(y := correct, b := b)) AS items FROM rr GROUP BY learner_id, solving_id),
+rec AS (
+  SELECT DISTINCT learner_id, CAST(0 AS BIGINT) AS rn, 0.0e0 AS theta FROM runs
+  UNION ALL
+  SELECT rec.learner_id, rec.rn + 1, rec.theta + 0.05e0 * (list_avg(list_transform(runs.items, lambda x: {_ERR})) - 1e-4 * rec.theta)
+  FROM rec JOIN runs ON runs.learner_id = rec.learner_id AND runs.rn = rec.rn)
+SELECT interaction_id, mask AS metric_mask, {number("theta")} AS theta_pre, {number(SIGMOID.format("theta - b"))} AS probability
+FROM rr JOIN runs USING (learner_id, solving_id) JOIN rec ON rec.learner_id = runs.learner_id AND rec.rn = runs.rn WHERE split = 'test'
+"""
+
+
+@query("test_eval", _TEST)
+def test_eval(spark, d):
+    """TRAIN, VALID and TEST in a row, with masked rows, items outside the vocabulary and learners outside the cohort."""
+    k = Kt1(spark, d)
+    rows = k.prepared.withColumn("metric_mask", F.col("seq") % 10 != 3)
+    fitted = V.fitted_rows(rows)
+    learners = V.vocabulary(rows.where(F.substring("learner_id", 2, 20).cast("long") % 11 != 5), F.col("learner_id"))
+    items = V.vocabulary(fitted.where(item_number() % 13 != 3), F.col("item_id"))
+    learners, items = cut_lineage(learners), cut_lineage(items)
+    difficulty = with_difficulty(items.select(F.col("id").alias("item_id")), k)
+    states = None
+    for phase in ("train", "valid", "test"):
+        part = R.phase_input(rows, phase, learners, items, difficulty)
+        walked = cut_lineage(R.replay(part, AbilityModel(), states, keep=("interaction_id", "metric_mask"), hot=k.hot))
+        moved = R.states_of(walked)
+        if states is not None:
+            moved = moved.unionByName(states.join(moved.select("learner_id").distinct(), "learner_id", "left_anti"))
+        states = moved
+    return R.trace_of(walked).select("interaction_id", "metric_mask", rounded("theta_pre").alias("theta_pre"), rounded("probability").alias("probability"))
+
+
 @query("user_model", KT1 + """
 SELECT interaction_id, """ + number("1.0e0 / (1 + min(ord) OVER (PARTITION BY learner_id, bundle_id))") + " AS probability FROM canon")
 def user_model(spark, d):

@@ -19,13 +19,18 @@ from lumenseq.operators import validate as L
 from lumenseq.operators import vocab as V
 from lumenseq.operators.fit import train
 from lumenseq.operators.layout import ordinal
-from lumenseq.operators.models import AbilityModel, BundleModel, ResidualModel, check_model
+from lumenseq.operators.models import ETA_R, L2, THETA_LR, AbilityModel, BundleModel, ResidualModel, check_model
 from lumenseq.operators.windows import runs
 from lumenseq.plans.tables import TutorLog
 from lumenseq.session import cut_lineage
 from lumenseq.sources import files, sinks
 
 
+#: Labels that enter the identity of a published dataset; a changed rule takes a new one.
+PROTOCOL = "solving_split_v1"
+PREPROCESSING = "canonical_rows_v2"
+
+
 class WorkflowError(RuntimeError):
     """A gate of a workflow failed; nothing was published or scored past it."""
 
@@ -41,6 +46,21 @@ def _tree(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in I.tree_hash(df, I.row_json(df), "split").orderBy("split").collect()]
 
 
+def _identity(rows: DataFrame, dataset_id: str, cohort: DataFrame | None, **vocabularies: DataFrame) -> dict:
+    """Splits with hash and count, a hash of each vocabulary, and the document that binds them."""
+    def ordered(vocab: DataFrame) -> str | None:
+        found = I.tree_hash(vocab.select(F.lit(0).alias("g"), F.col("idx").alias("seq"), "id"), F.col("id").cast("string"), "g").first()
+        return found["tree_hash"] if found else None
+
+    splits = _tree(rows)
+    hashes = {name: ordered(vocab) for name, vocab in vocabularies.items()}
+    members = ordered(ordinal(cohort.select(F.col(cohort.columns[0]).alias("id")), ["id"], "idx")) if cohort is not None else None
+    _, logical = I.dataset_identity(dataset_id, PROTOCOL, PREPROCESSING, members,
+                                    [(s["split"], s["tree_hash"], s["row_count"]) for s in splits],
+                                    hashes["items"], hashes["kcs"])
+    return {"splits": splits, "vocabularies": hashes, "cohort": members, "logical_hash": logical}
+
+
 def prepare_kt1(spark: SparkSession, raw_dir: str, questions: str, out: str, pilot: tuple[int, int] | None = None,
                 cohort: int | None = None, expected: dict[str, int] | None = None, rebuild: bool = False) -> tuple[str, dict]:
     """Per-learner logs to a published dataset.
@@ -57,7 +77,7 @@ def prepare_kt1(spark: SparkSession, raw_dir: str, questions: str, out: str, pil
     labelled = ordinal(P.solving_split(canonical), ["learner_id", "order"], "seq")
     fitted = V.fitted_rows(labelled)
     items, kcs = V.vocabulary(fitted, F.col("item_id")), V.kc_vocabulary(fitted)
-    rows, kept = labelled, marked
+    rows, kept, members = labelled, marked, chosen
     if cohort is not None:
         members = cut_lineage(A.first_ids(chosen.withColumnRenamed("user_id", "learner_id"), "learner_id", cohort))
         rows = densify_cohort(A.cohort_rows(labelled, members))
@@ -70,7 +90,8 @@ def prepare_kt1(spark: SparkSession, raw_dir: str, questions: str, out: str, pil
     summary = D.split_diagnostics(rows, kept.agg(F.count(F.lit(1))))
     if expected:
         _require_empty(L.count_gate(summary, expected), "frozen counts differ")
-    identity = {"splits": _tree(rows), "items": items.count(), "kcs": kcs.count()}
+    rows, items, kcs = cut_lineage(rows), cut_lineage(items), cut_lineage(kcs)
+    identity = _identity(rows, "kt1", members, items=items, kcs=kcs)
 
     def write(path: str) -> None:
         sinks.write_splits(rows, f"{path}/rows")
@@ -98,7 +119,7 @@ def prepare_tutor(spark: SparkSession, csv: str, out: str, expected: dict[str, i
         _require_empty(L.count_gate(summary, expected), "frozen counts differ")
     if summary.first()["derived_cross_boundary_bundles"]:
         raise WorkflowError("bundle closure left a TRAIN/VALID crossing bundle")
-    identity = {"splits": _tree(rows), "items": log.items.count(), "skills": log.skills.count()}
+    identity = _identity(rows, "tutor", None, learners=log.learners, items=log.items, kcs=log.skills)
 
     def write(path: str) -> None:
         sinks.write_splits(rows, f"{path}/rows", extra=("source_row", "skill_id"))
@@ -109,11 +130,11 @@ def prepare_tutor(spark: SparkSession, csv: str, out: str, expected: dict[str, i
     return sinks.publish_if_changed(spark, out, identity, write, rebuild), identity
 
 
-def _model(kind: str, rule: str) -> tuple[BundleModel, ResidualModel | None]:
+def _model(kind: str, rule: str, eta: float = ETA_R, theta_lr: float = THETA_LR, l2: float = L2) -> tuple[BundleModel, ResidualModel | None]:
     if kind == "irt":
-        return AbilityModel(), None
+        return AbilityModel(theta_lr, l2), None
     if kind == "ar_kt":
-        residual = ResidualModel(rule=rule, tags="tag_idxs")
+        residual = ResidualModel(rule=rule, eta=eta, theta_lr=theta_lr, l2=l2, tags="tag_idxs")
         return residual, residual
     raise ValueError(f"model kind must be irt or ar_kt, got {kind!r}")
 
@@ -123,47 +144,82 @@ def _scores(trace: DataFrame) -> dict:
     return found[0].asDict() if found else {}
 
 
-def fit_valid(rows: DataFrame, kind: str, rule: str = "token", state_path: str | None = None) -> dict:
-    """TRAIN pass, optional state save, VALID pass with difficulty frozen, masked metrics."""
+def _global_scores(trace: DataFrame) -> dict:
+    return _scores(trace.withColumn("probability", F.col("p_global")))
+
+
+def _vocabularies(rows: DataFrame, learners: DataFrame | None, items: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The vocabularies given, else those of the TRAIN and VALID rows."""
+    fitted = V.fitted_rows(rows)
+    learners = V.vocabulary(fitted, F.col("learner_id")) if learners is None else learners
+    items = V.vocabulary(fitted, F.col("item_id")) if items is None else items
+    return cut_lineage(learners.select("id", "idx")), cut_lineage(items.select("id", "idx"))
+
+
+def fit_valid(rows: DataFrame, kind: str, rule: str = "token", state_path: str | None = None,
+              learners: DataFrame | None = None, items: DataFrame | None = None) -> dict:
+    """TRAIN pass, optional state save, VALID pass with difficulty frozen, masked metrics.
+
+    Masked rows and rows outside the vocabularies neither train nor validate.
+    """
     model, residual = _model(kind, rule)
-    part = lambda s: ordinal(rows.where(F.col("split") == s), ["seq"], "seq")
-    fit = train(part("train"), residual=residual)
+    known = _vocabularies(rows, learners, items)
+    fit = train(ordinal(R.phase_input(rows, "train", *known), ["seq"], "seq"), residual=residual)
     states = cut_lineage(R.states_of(fit.walked))
     if state_path:
         sinks.save_state(states, fit.difficulty, state_path, kind, rule)
-    valid = R.attach_difficulty(part("valid"), fit.difficulty)
-    walked = cut_lineage(R.replay(valid, model, states, keep=("interaction_id", "correct", "metric_mask")))
-    trace = R.trace_of(walked)
+    valid = ordinal(R.phase_input(rows, "valid", *known, fit.difficulty), ["seq"], "seq")
+    trace = R.trace_of(cut_lineage(R.replay(valid, model, states, keep=("interaction_id", "correct", "metric_mask"))))
     out = {"valid": _scores(trace), "sweeps": fit.sweeps, "step": fit.step}
     if kind == "ar_kt":
-        out["valid_global"] = _scores(trace.withColumn("probability", F.col("p_global")))
+        out["valid_global"] = _global_scores(trace)
     return out
 
 
-def evaluate_test(rows: DataFrame, kind: str, state_path: str, expected_valid: dict, rule: str = "token",
-                  tolerance: float = 1e-12, stored_identity: DataFrame | None = None) -> dict:
+def _gate(trace: DataFrame, expected: dict, tolerance: float, what: str) -> dict:
+    found = M.within_tolerance(M.masked_metrics(trace), expected, tolerance).collect()
+    if not found or not found[0]["ok"]:
+        raise WorkflowError(f"{what} replay gate failed: {[g.asDict() for g in found]}")
+    return found[0].asDict()
+
+
+def _same_identity(stored: DataFrame, rows: DataFrame) -> None:
+    observed = I.tree_hash(rows, I.row_json(rows), "split")
+    _require_empty(I.identity_mismatches(stored, observed), "dataset identity differs")
+
+
+def evaluate_test(rows: DataFrame, kind: str, state_path: str, expected_valid: dict, expected_global: dict | None = None,
+                  tolerance: float = M.HEADLINE_TOLERANCE, stored_identity: DataFrame | None = None,
+                  learners: DataFrame | None = None, items: DataFrame | None = None) -> dict:
     """Gate on identity and on the VALID metrics, then continue into TEST.
 
-    The TEST rows are only read once the gate has passed: their DataFrame is
-    not executed before.
+    Update rule and rates come from the saved header. ``ar_kt`` is gated on ``p_global`` as well. No job reads TEST rows before
+    the gates have passed; then hash and count of TEST are held against ``stored_identity`` before anything is scored.
     """
+    if kind == "ar_kt" and expected_global is None:
+        raise ValueError("ar_kt is gated on p_global too: give expected_global")
+    is_test = F.col("split") == "test"
     if stored_identity is not None:
-        observed = I.tree_hash(rows, I.row_json(rows), "split")
-        _require_empty(I.identity_mismatches(stored_identity, observed), "dataset identity differs")
-    model, _ = _model(kind, rule)
-    _, states, difficulty = sinks.load_state(rows.sparkSession, state_path, kind)
+        _same_identity(stored_identity.where(~is_test), rows.where(~is_test))
+    header, states, difficulty = sinks.load_state(rows.sparkSession, state_path, kind)
+    model, _ = _model(kind, header["rule"], header["eta"], header["theta_lr"], header["l2"])
+    known = _vocabularies(rows, learners, items)
     keep = ("interaction_id", "correct", "metric_mask")
-    part = lambda s: R.attach_difficulty(ordinal(rows.where(F.col("split") == s), ["seq"], "seq"), difficulty)
+    part = lambda s: ordinal(R.phase_input(rows, s, *known, difficulty), ["seq"], "seq")
     valid = cut_lineage(R.replay(part("valid"), model, states, keep=keep))
-    gate = M.within_tolerance(M.masked_metrics(R.trace_of(valid)), expected_valid, tolerance).collect()
-    if not gate or not gate[0]["ok"]:
-        raise WorkflowError(f"VALID replay gate failed: {[g.asDict() for g in gate]}")
+    out = {"valid": _gate(R.trace_of(valid), expected_valid, tolerance, "VALID")}
+    if kind == "ar_kt":
+        on_global = R.trace_of(valid).withColumn("probability", F.col("p_global"))
+        out["valid_global"] = _gate(on_global, expected_global, tolerance, "VALID p_global")
+    if stored_identity is not None:
+        _same_identity(stored_identity.where(is_test), rows.where(is_test))
     moved = R.states_of(valid)
     carried = moved.unionByName(states.join(moved.select("learner_id").distinct(), "learner_id", "left_anti"))
-    known = difficulty.select("item_id", F.lit(True).alias("_known"))
-    test = part("test").join(known, "item_id", "left").withColumn(
-        "metric_mask", F.col("metric_mask") & F.coalesce("_known", F.lit(False)))
-    return {"valid": gate[0].asDict(), "test": _scores(R.trace_of(R.replay(test, model, carried, keep=keep)))}
+    trace = R.trace_of(cut_lineage(R.replay(part("test"), model, carried, keep=keep)))
+    out["test"] = _scores(trace)
+    if kind == "ar_kt":
+        out["test_global"] = _global_scores(trace)
+    return out
 
 
 @dataclass
@@ -176,6 +232,11 @@ class UserRun:
     states: DataFrame
 
 
+def _trace_hash(predictions: DataFrame) -> list[dict]:
+    """Hash and row count of the predictions of each split."""
+    return [r.asDict() for r in I.tree_hash(predictions, I.trace_line(), "split").orderBy("split").collect()]
+
+
 def run_user_model(rows: DataFrame, model: BundleModel, roles: list[tuple[str, str]], oov_semantics: str | None = None,
                    phase_state: str = "carry", test: bool = False) -> UserRun:
     """TRAIN then VALID (and, on request, TEST) through a user model with all contract checks.
@@ -194,6 +255,10 @@ def run_user_model(rows: DataFrame, model: BundleModel, roles: list[tuple[str, s
     trained = cut_lineage(R.states_of(R.replay(fitting, model)))
     walked = cut_lineage(R.replay(scoring, model, trained, keep=keep))
     target, states = scoring, R.states_of(walked)
+    # a second VALID pass from the stored TRAIN states must give the same predictions: the model keeps nothing outside its state
+    first, second = (_trace_hash(R.trace_of(w)) for w in (walked, R.replay(scoring, model, trained, keep=keep)))
+    if first != second:
+        raise WorkflowError(f"VALID replay from restored states differs: {first} against {second}")
     if test:
         entering = trained
         if phase_state == "carry":
@@ -202,8 +267,7 @@ def run_user_model(rows: DataFrame, model: BundleModel, roles: list[tuple[str, s
         walked = cut_lineage(R.replay(target, model, entering, keep=keep))
     predictions = R.trace_of(walked)
     _require_empty(align.misaligned(target.select("seq", "interaction_id"), predictions.select("seq", "interaction_id")), "misaligned predictions")
-    hashes = [r.asDict() for r in I.tree_hash(predictions, I.trace_line(), "split").collect()]
-    return UserRun(predictions, _scores(predictions), hashes, states)
+    return UserRun(predictions, _scores(predictions), _trace_hash(predictions) if test else first, states)
 
 
 def run_user_directory(spark: SparkSession, directory: str, model: BundleModel) -> UserRun:

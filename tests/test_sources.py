@@ -79,6 +79,11 @@ def test_prepare_kt1_publish(spark, tmp_path):
     assert valid.columns == ["interaction_id", "seq"]
     assert all("split=valid" in f for f in valid.inputFiles()) or "PartitionFilters" in valid._jdf.queryExecution().toString()
     manifest = sinks.read_json(spark, f"{out}/manifest.json")
+    assert set(manifest["identity"]["vocabularies"]) == {"items", "kcs"} and len(manifest["identity"]["logical_hash"]) == 64
+    # another vocabulary of the same size is another dataset
+    other = {**manifest["identity"], "vocabularies": {**manifest["identity"]["vocabularies"], "items": "0" * 64}}
+    with pytest.raises(files.SourceError):
+        sinks.publish_if_changed(spark, out, other, lambda path: None)
     assert manifest["noncontiguous_bundles"] == 0 and manifest["eligible_rows"] == 11
 
 
@@ -186,10 +191,26 @@ def test_fit_evaluate_round_trip(spark, tmp_path):
     state = str(tmp_path / "state")
     out = workflows.fit_valid(df, "ar_kt", state_path=state)
     assert out["valid"]["n"] == 12 and out["step"] <= 1e-13
-    done = workflows.evaluate_test(df, "ar_kt", state, out["valid"])
-    assert done["test"]["n"] == 12
-    with pytest.raises(workflows.WorkflowError):
-        workflows.evaluate_test(df, "ar_kt", state, {"nll": 0.0, "brier": 0.0, "auc": 0.0})
+    stored = I.tree_hash(df, I.row_json(df), "split")
+    done = workflows.evaluate_test(df, "ar_kt", state, out["valid"], out["valid_global"], stored_identity=stored)
+    assert done["test"]["n"] == done["test_global"]["n"] == 12
+    wrong = {"nll": 0.0, "brier": 0.0, "auc": 0.0}
+    for gates in ((wrong, out["valid_global"]), (out["valid"], wrong)):
+        with pytest.raises(workflows.WorkflowError, match="gate failed"):
+            workflows.evaluate_test(df, "ar_kt", state, *gates)
+    with pytest.raises(ValueError, match="p_global"):
+        workflows.evaluate_test(df, "ar_kt", state, out["valid"])
+    swapped = df.withColumn("correct", F.when(F.col("split") == "test", 1 - F.col("correct")).otherwise(F.col("correct")))
+    with pytest.raises(workflows.WorkflowError, match="identity differs"):
+        workflows.evaluate_test(swapped, "ar_kt", state, out["valid"], out["valid_global"], stored_identity=stored)
     with pytest.raises(ValueError):
         sinks.load_state(spark, state, "irt")
+    # an unknown item is scored under the first vocabulary item and masked, an unknown learner goes
+    odd = df.withColumns({"item_id": F.when(F.col("seq") == 14, "new").otherwise(F.col("item_id")),
+                          "learner_id": F.when((F.col("split") == "test") & (F.col("learner_id") == "u3"), "u9").otherwise(F.col("learner_id"))})
+    assert workflows.evaluate_test(odd, "ar_kt", state, out["valid"], out["valid_global"])["test"]["n"] == 8
+    b = {r["item_id"]: r["b"] for r in spark.read.parquet(f"{state}/b").collect()}
+    vocab = workflows._vocabularies(odd, None, None)
+    seen = {r["seq"]: r["b"] for r in workflows.R.phase_input(odd, "test", *vocab, spark.read.parquet(f"{state}/b")).collect()}
+    assert seen[14] == b["q0"] != 0.0 and len(seen) == 9 and seen[13] == b["q1"]
     assert workflows.smoke(df, "irt", str(tmp_path / "smoke"))["n"] == 24
