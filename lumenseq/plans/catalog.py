@@ -346,10 +346,13 @@ def phase_rows(spark, d):
     return as_long(V.kt1_phase_rows(rows, "test").select("seq", "problem_idx", "metric_mask"), "metric_mask")
 
 
-@query("execution_rows", KT1 + "SELECT interaction_id, '' AS tag_idxs FROM canon")
+@query("execution_rows", KT1 + """
+SELECT interaction_id, 'irt' AS family, '' AS tag_idxs FROM canon UNION ALL SELECT interaction_id, 'ar_kt', array_to_string(kc_ids, ',') FROM canon""")
 def execution_rows(spark, d):
+    """Rows for a family without KCs and for one with."""
     rows = Kt1(spark, d).canonical.withColumn("tag_idxs", F.col("kc_ids"))
-    return V.execution_rows(rows, "irt").select("interaction_id", text("tag_idxs").alias("tag_idxs"))
+    irt, ar_kt = (V.execution_rows(rows, f).select("interaction_id", F.lit(f).alias("family"), text("tag_idxs").alias("tag_idxs")) for f in ("irt", "ar_kt"))
+    return irt.union(ar_kt)
 
 
 @query("leakage", KT1 + """
@@ -360,10 +363,11 @@ def leakage(spark, d):
 
 
 @query("missing_learners", """
-SELECT CAST(c_custkey AS VARCHAR) AS learner_id FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders""")
+SELECT CAST(c_custkey AS VARCHAR) AS learner_id FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def missing_learners(spark, d):
+    """Customers without an urgent order."""
     cohort = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("learner_id"))
-    seen = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("learner_id"))
+    seen = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("learner_id"))
     return V.missing_learners(cohort, seen)
 
 
@@ -427,7 +431,7 @@ def damaged(k: Kt1) -> DataFrame:
     on = lambda r, value, other: F.when(m == r, value).otherwise(other)
     return c.select(
         "seq",
-        on(8, F.concat("learner_id", F.lit(":0")), F.col("interaction_id")).alias("interaction_id"),
+        F.when(m == 8, F.concat("learner_id", F.lit(":0"))).when(m == 14, " ").otherwise(F.col("interaction_id")).alias("interaction_id"),
         on(1, F.lit(" "), F.col("learner_id")).alias("learner_id"),
         on(2, F.lit(""), F.col("item_id")).alias("item_id"),
         on(3, F.lit(2).cast("long"), F.col("correct")).alias("correct"),
@@ -435,7 +439,7 @@ def damaged(k: Kt1) -> DataFrame:
         F.when(m == 4, -1).when(m == 9, 0).otherwise(F.col("order")).cast("long").alias("order"),
         F.when(m == 6, F.lit(float("nan"))).when(m == 12, F.col("timestamp") - 1e9)
         .otherwise(F.col("timestamp").cast("double")).alias("timestamp"),
-        F.when(m == 10, "u0|0").when(m == 11, F.concat("learner_id", F.lit("|0"))).otherwise(F.col("bundle_id")).alias("bundle_id"),
+        F.when(m == 10, "u0|0").when(m == 11, F.concat("learner_id", F.lit("|0"))).when(m == 15, "").otherwise(F.col("bundle_id")).alias("bundle_id"),
         F.when(m == 7, " ").when(m == 13, "valid").otherwise("train").alias("split"),
         "metric_mask",
     )
@@ -515,7 +519,14 @@ def validate_duplicate_kc(spark, d):
     return L.repeated_kc_report(damaged(Kt1(spark, d))).drop("message")
 
 
-@query("validate_summary", None)
+def _issues_in_all() -> str:
+    """Issues per code, from the SQL of the single rules; a repeated KC is reported but is no issue."""
+    rules = [sql.removeprefix(DAMAGED).strip() for name, sql in ORACLES.items() if name.startswith("validate_") and name != "validate_duplicate_kc"]
+    parts = [f"SELECT code FROM ({'WITH ' + r[1:] if r.startswith(',') else r})" for r in rules]
+    return DAMAGED + "SELECT code, count(*) AS issues FROM (" + "\nUNION ALL ".join(parts) + ") GROUP BY code"
+
+
+@query("validate_summary", _issues_in_all())
 def validate_summary(spark, d):
     k = Kt1(spark, d)
     return L.validate(cut_lineage(damaged(k)), hot=k.hot).groupBy("code").agg(F.count(F.lit(1)).alias("issues"))

@@ -90,14 +90,14 @@ enc AS (
 
 DAMAGED = KT1 + """, bad AS (
   SELECT seq,
-    CASE WHEN seq % 997 = 8 THEN learner_id || ':0' ELSE interaction_id END AS interaction_id,
+    CASE WHEN seq % 997 = 8 THEN learner_id || ':0' WHEN seq % 997 = 14 THEN ' ' ELSE interaction_id END AS interaction_id,
     CASE WHEN seq % 997 = 1 THEN ' ' ELSE learner_id END AS learner_id,
     CASE WHEN seq % 997 = 2 THEN '' ELSE item_id END AS item_id,
     CASE WHEN seq % 997 = 3 THEN 2 ELSE correct END AS correct,
     CASE WHEN seq % 997 = 5 THEN list_append(kc_ids, -7) ELSE kc_ids END AS kc_ids,
     CASE WHEN seq % 997 = 4 THEN -1 WHEN seq % 997 = 9 THEN 0 ELSE ord END AS ord,
     CASE WHEN seq % 997 = 6 THEN 'NaN'::DOUBLE WHEN seq % 997 = 12 THEN ts_ms - 1e9 ELSE ts_ms::DOUBLE END AS ts,
-    CASE WHEN seq % 997 = 10 THEN 'u0|0' WHEN seq % 997 = 11 THEN learner_id || '|0' ELSE bundle_id END AS bundle_id,
+    CASE WHEN seq % 997 = 10 THEN 'u0|0' WHEN seq % 997 = 11 THEN learner_id || '|0' WHEN seq % 997 = 15 THEN '' ELSE bundle_id END AS bundle_id,
     CASE WHEN seq % 997 = 7 THEN ' ' WHEN seq % 997 = 13 THEN 'valid' ELSE 'train' END AS split
   FROM canon)
 """

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lumenseq.operators.models import AbilityModel, ResidualModel
 from lumenseq.plans.catalog import query, rounded
-from lumenseq.plans.model_queries import _IRT, _TOKEN, item_number
-from lumenseq.plans.oracle import KT1, number
+from lumenseq.plans.model_queries import _ERR, _IRT, _TOKEN, item_number
+from lumenseq.plans.oracle import KT1, SIGMOID, number
 from lumenseq.plans.tables import Kt1, table
-from lumenseq.session import scratch_path
+from lumenseq.session import cut_lineage, scratch_path
 from lumenseq.streaming import online
 
 
@@ -24,7 +24,10 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def canonical_stream(spark: SparkSession, d: str) -> DataFrame:
     """Eligible responses as a stream; the item catalog is a static join."""
-    events = event_stream(spark, d)
+    return canonical_rows(event_stream(spark, d), Kt1(spark, d).catalog)
+
+
+def canonical_rows(events: DataFrame, questions: DataFrame) -> DataFrame:
     answer = F.expr("CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'purchase' THEN 'c' WHEN 'signup' THEN 'd' END")
     rows = events.select(
         F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("interaction_id"),
@@ -32,7 +35,7 @@ def canonical_stream(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("q"), F.get_json_object("props", "$.k")).alias("item_id"),
         F.datediff("ts", F.lit("2024-01-01")).cast("string").alias("bundle_id"), F.col("ts").cast("timestamp").alias("event_time"),
         answer.alias("_answer")).where(F.col("_answer").isNotNull())
-    catalog = Kt1(spark, d).catalog.select(F.col("question_id").alias("item_id"), "kc_ids", "correct_answer")
+    catalog = questions.select(F.col("question_id").alias("item_id"), "kc_ids", "correct_answer")
     joined = rows.join(catalog, "item_id")
     return joined.select(
         *[c for c in rows.columns if c not in ("_answer",)], F.col("kc_ids").alias("tag_idxs"),
@@ -62,6 +65,40 @@ def stream_arkt_eval(spark, d):
     return _scores(spark, d, ResidualModel())
 
 
+#: Deliveries of ``stream_late_eval``: one a week, and every fiftieth event comes a delivery late.
+_DELIVERIES = 6
+_LATE = KT1 + """
+, sent AS (SELECT *, (item_no * 7 % 11 - 5) / 10.0e0 AS b, least(solving_id // 7, 4) + CASE WHEN canon.seq % 50 = 7 THEN 1 ELSE 0 END AS delivery FROM canon),
+judged AS (SELECT *, coalesce(seq < max(seq) OVER (PARTITION BY learner_id ORDER BY delivery RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM sent),
+runs AS (SELECT learner_id, dense_rank() OVER (PARTITION BY learner_id ORDER BY solving_id) - 1 AS rn, solving_id,
+         list(struct_pack(y := correct, b := b)) AS items FROM judged WHERE NOT late GROUP BY learner_id, solving_id),
+rec AS (
+  SELECT DISTINCT learner_id, CAST(0 AS BIGINT) AS rn, 0.0e0 AS theta FROM runs
+  UNION ALL
+  SELECT rec.learner_id, rec.rn + 1, rec.theta + 0.05e0 * (list_avg(list_transform(runs.items, lambda x: """ + _ERR + """)) - 1e-4 * rec.theta)
+  FROM rec JOIN runs ON runs.learner_id = rec.learner_id AND runs.rn = rec.rn)
+SELECT 'e' || judged.seq AS interaction_id, CASE WHEN NOT late THEN """ + number(SIGMOID.format("rec.theta - judged.b")) + """ END AS probability, CAST(late AS BIGINT) AS late
+FROM judged LEFT JOIN runs USING (learner_id, solving_id) LEFT JOIN rec ON rec.learner_id = runs.learner_id AND rec.rn = runs.rn"""
+
+
+@query("stream_late_eval", _LATE)
+def stream_late_eval(spark, d):
+    """Deliveries that land one after the other: state lives on between triggers and late rows are told from the others.
+
+    A delivery keeps a learner in one file, so it may be read in any number of triggers.
+    """
+    events = table(spark, d, "events")
+    week = F.least(F.expr("datediff(ts, '2024-01-01') div 7"), F.lit(4)) + F.when(F.col("event_id") % 50 == 7, 1).otherwise(0)
+    sent = cut_lineage(events.withColumn("_delivery", week))
+    landing, folder = scratch_path(spark, "landing"), scratch_path(spark, "stream")
+    out = None
+    for delivery in range(_DELIVERIES):
+        sent.where(F.col("_delivery") == delivery).drop("_delivery").repartition("user_id").write.mode("append").parquet(landing)
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 16).parquet(landing)
+        out = online.run_available(online.online_scores(canonical_rows(source, Kt1(spark, d).catalog), AbilityModel()), folder)
+    return out.select("interaction_id", rounded("probability").alias("probability"), F.col("late").cast("long").alias("late"))
+
+
 @query("stream_gap_eval", _IRT + _STREAM_OUT.format(p=number("p"), src="pred"))
 def stream_gap_eval(spark, d):
     """Same scores with bundles also closed by an event-time timer."""
