@@ -22,7 +22,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenseq.llm.common import shared_path
+from lumenseq.llm.common import shared_path, shuffle_partitions
 
 #: Compressed bytes after which a task begins a new archive, and bytes a reader asks for at a time.
 ARCHIVE_BYTES, READ_BYTES = 64_000_000, 1 << 18
@@ -182,7 +182,11 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every record in the archives."""
+    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every record in the archives.
+
+    Archives are dealt evenly over a stated number of tasks: their list is a few bytes, which adaptive execution would
+    otherwise gather into one task.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = pyarrow.fs.FileSystem.from_uri(folder)
@@ -209,7 +213,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield batch_of(held)
 
-    spread = archives.select("path").repartition("path")
+    tasks = max(1, min(archives.count(), shuffle_partitions(archives.sparkSession)))
+    spread = archives.select("path").repartition(tasks)
     return spread.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
