@@ -29,13 +29,18 @@ SALTS = 32
 _SIDE = 17  # a quarter has 0 to 16 bits
 
 
+def shingle_hashes(text: str, words_each: int) -> np.ndarray:
+    """XXH64 of each shingle; a text of fewer words than a shingle is one shingle, a text without words has none."""
+    words = text.encode().lower().split()  # bytes: A-Z alone is lowered, ASCII white space alone divides
+    shifted = [words[i:] for i in range(words_each)] if len(words) > words_each else [[w] for w in words]
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*shifted, strict=False)), dtype="<u8")
+
+
 def fingerprint(text: str, words_each: int = 3) -> int:
     """Bits set in over half the shingles' XXH64; zero for a text without words."""
-    words = text.encode().lower().split()  # bytes: A-Z alone is lowered, ASCII white space alone divides
-    if not words:
+    hashes = shingle_hashes(text, words_each)
+    if not len(hashes):
         return 0
-    shifted = [words[i:] for i in range(words_each)] if len(words) > words_each else [[w] for w in words]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*shifted, strict=False)), dtype="<u8")
     votes = np.zeros(64, dtype="i8")
     for first in range(0, len(hashes), 65_536):
         votes += np.unpackbits(hashes[first : first + 65_536].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenseq.llm import backoff_lm, components, language_id, licenses, mixing, multi_index, packing, quality, simhash, token_counts, warc, word_bpe
+from lumenseq.llm import backoff_lm, components, language_id, licenses, mixing, multi_index, near_copies, packing, quality, simhash, token_counts, warc, word_bpe
 from lumenseq.llm.common import id_remainder, pack_rows
 
 LONG = "The quick brown fox, it's 12½ years old.\n" * 4000
@@ -311,3 +311,48 @@ def test_pipeline_stages(spark, tmp_path):
 def test_every_plain_character_is_split_as_the_library_does():
     texts = [f"{chr(i)}x{chr(i) * 3} a{chr(i)}'s" for i in range(1, 0x300)]
     assert [x.tolist() for x in word_bpe.IdCache(word_bpe.default_path()).encode(texts)] == [tokens(t) for t in texts]
+
+
+def edited(words, changes, tag):
+    words = list(words)
+    for c in range(changes):
+        words[5 + (c * 53) % (len(words) - 10)] = f"{tag}x{c}"
+    return " ".join(words)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_pipeline_drops_edited_copies_of_five_word_similarity(spark):
+    rows, kept, similar = [], set(), []
+    for i in range(60):
+        base = [f"f{i}w{k}" for k in range(400)]
+        copy = edited(base, 1 + i % 12, f"f{i}")
+        similar.append(jaccard(" ".join(base), copy))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, copy)]
+        kept |= {2 * i} if similar[-1] >= 0.8 else {2 * i, 2 * i + 1}
+    assert sum(0.8 <= s < 0.9 for s in similar) >= 10 and sum(0.7 < s < 0.8 for s in similar) >= 10
+    group = [f"g{k}" for k in range(300)]
+    rows += [(1000 + i, edited(group, 2, f"g{i}")) for i in range(60)]  # all near each other
+    docs = table(spark, rows)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert got == sorted(kept | {1000})
+
+
+def test_band_keys_find_nearly_all_pairs_at_the_bound():
+    rng, missed = np.random.default_rng(5), 0
+    for _ in range(400):
+        both = rng.integers(0, 2**64, 400, dtype="u8")
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, 50, dtype="u8")])) for _ in "ab")  # similarity 0.8
+        missed += not set(near_copies.band_keys(a)) & set(near_copies.band_keys(b))
+    assert missed == 0
+
+
+def test_near_copies_in_blocks_join_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SIDE", 3)
+    words = [f"c{k}" for k in range(700)]
+    chain = [" ".join(words[5 * i : 5 * i + 200]) for i in range(60)]  # each near the next four, none near all
+    docs = table(spark, [(i, t) for i, t in enumerate(chain)] + [(500, "apart from all of the others here")])
+    assert sorted(r["doc_id"] for r in near_copies.representatives(docs).collect()) == [0, 500]
