@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from lumenseq.llm import word_bpe as W
 from lumenseq.llm.common import texts_in_slices, whole
 
-#: Entries of the broadcast table (about 0.5 MB) and of one task's report; what a task counts at once.
+#: Entries of the broadcast table and of one task's report; what a task counts at once.
 FREQUENT, PER_TASK, HELD = 32_768, 8_192, 200_000
+#: Longest pre-token of the table, in characters, so that its keys stay under 2.1 million characters (about 0.5 MB for prose).
+LONGEST = 64
 
 
 def frequent_pieces(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[str, int]:
-    """About the ``most`` most frequent pre-tokens of all texts, with their token counts.
+    """About the ``most`` most frequent pre-tokens of up to ``LONGEST`` characters of all texts, with their token counts.
 
     Every text is read. A task counts in bounded memory, dropping its rarest half when full, so a rare pre-token may be
     missed; that costs a cache miss later and never changes a count.
@@ -34,7 +36,7 @@ def frequent_pieces(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[st
         seen: Counter[str] = Counter()
         for batch in batches:
             for _, texts in texts_in_slices(batch):
-                seen.update(chain.from_iterable(W.pieces(t) or () for t in texts))
+                seen.update(p for t in texts for p in W.pieces(t) or () if len(p) <= LONGEST)
                 if len(seen) > HELD:
                     seen = Counter(dict(seen.most_common(HELD // 2)))
         top = seen.most_common(PER_TASK)
@@ -58,11 +60,11 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
     path = path or W.default_path()
     table = frequent_pieces(docs, path)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(("\n".join(table), array("H", table.values()).tobytes()))
+    shared = spark.sparkContext.broadcast(("\n".join(table), array("I", table.values()).tobytes()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, lengths = shared.value
-        first_tier = dict(zip(names.split("\n"), array("H", lengths), strict=False))
+        first_tier = dict(zip(names.split("\n"), array("I", lengths), strict=False))
         known = dict(first_tier)
         for batch in batches:
             n_tokens: list[int] = []
@@ -75,6 +77,9 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
                 encoded = W.library(path).encode_batch_fast(missing, add_special_tokens=False)
                 known.update(zip(missing, (len(e.ids) for e in encoded), strict=True))
                 n_tokens += [len(W.encode_whole(path, t)) if p is None else sum(map(known.__getitem__, p)) for t, p in zip(texts, split, strict=True)]
+                for piece in missing:
+                    if len(piece) > LONGEST:
+                        del known[piece]  # the cache is bounded in entries, so it holds short ones only
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )

@@ -356,3 +356,10 @@ def test_near_copies_in_blocks_join_a_chain(spark, monkeypatch):
     chain = [" ".join(words[5 * i : 5 * i + 200]) for i in range(60)]  # each near the next four, none near all
     docs = table(spark, [(i, t) for i, t in enumerate(chain)] + [(500, "apart from all of the others here")])
     assert sorted(r["doc_id"] for r in near_copies.representatives(docs).collect()) == [0, 500]
+
+
+def test_token_counts_of_one_run_of_letters(spark):
+    run = "acgt" * 50_000
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(table(spark, [(1, run), (2, run), (3, "short words")])).collect()}
+    assert got == {1: len(tokens(run)), 2: len(tokens(run)), 3: len(tokens("short words"))} and got[1] > 65_535
+    assert set(token_counts.frequent_pieces(table(spark, [(1, run), (2, run), (3, "short words")]), word_bpe.default_path())) == {"short", "words"}
