@@ -55,18 +55,18 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     return rates.select("source", "rate", poisson_table(F.col("rate")).alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 17, key: Column | None = None) -> DataFrame:
     """The columns of ``docs`` with ``copy`` (from 1) and ``mix_key``; a row for each copy, dealt and sorted by ``mix_key``.
 
     The result may hold any row no, one or several times; its expected size is that of ``docs``. A null text, an empty or
-    very long one is carried as it is; a null id draws as empty text; rows with one id draw alike; an empty table gives no
-    rows. Columns named ``copy`` or ``mix_key`` are replaced.
+    very long one is carried as it is; rows with one ``key`` (the id when not given) draw alike, a null key as empty text; an
+    empty table gives no rows. Columns named ``copy`` or ``mix_key`` are replaced.
     """
     docs = docs.drop("copy", "mix_key")
+    key = F.col("doc_id") if key is None else key
     rates = source_rates(docs.select("source"), weights, temperature).select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
-    draw = uniform(F.lit(seed), F.col("doc_id"))
-    drawn = docs.join(rates, docs["source"].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_draw", draw)
+    drawn = docs.join(rates, docs["source"].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_name", key).withColumn("_mix_draw", uniform(F.lit(seed), F.col("_mix_name")))
     times = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_draw")))
     copies = drawn.withColumn("_mix_times", times).where("_mix_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times").cast("long"))))
-    keyed = copies.withColumn("mix_key", uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy"))).select(*docs.columns, "copy", "mix_key")
+    keyed = copies.withColumn("mix_key", uniform(F.lit(seed + 1), F.col("_mix_name"), F.col("copy"))).select(*docs.columns, "copy", "mix_key")
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

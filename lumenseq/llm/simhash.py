@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenseq.llm.common import texts_in_slices, whole
+from lumenseq.llm.common import row_key, texts_in_slices, whole
 from lumenseq.llm.components import stars
 from lumenseq.session import cut_lineage
 
@@ -153,12 +153,11 @@ def simhash_components(docs: DataFrame, radius: int = 2, words_each: int = 3) ->
     return alone.union(copied).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-
 def representatives(docs: DataFrame, radius: int = 2, words_each: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one row for each id.
+    """One row of ``docs`` for each component: the least by id, nulls last, then by hash of the text.
 
-    Rows that repeat an id count as one document, and so do all rows without an id.
+    Rows that repeat both id and text count as one document.
     """
-    named = simhash_components(docs.select("doc_id", "text"), radius, words_each)
-    least = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_least")).distinct()
-    return docs.join(least, docs["doc_id"].eqNullSafe(F.col("_least")), "left_semi").dropDuplicates(["doc_id"])
+    named = simhash_components(docs.select(row_key().alias("doc_id"), "text"), radius, words_each)
+    least = named.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", row_key()).join(least, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -363,3 +363,19 @@ def test_token_counts_of_one_run_of_letters(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(table(spark, [(1, run), (2, run), (3, "short words")])).collect()}
     assert got == {1: len(tokens(run)), 2: len(tokens(run)), 3: len(tokens("short words"))} and got[1] > 65_535
     assert set(token_counts.frequent_pieces(table(spark, [(1, run), (2, run), (3, "short words")]), word_bpe.default_path())) == {"short", "words"}
+
+
+def test_rows_without_an_id_or_with_one_id_are_kept(spark):
+    texts = [" ".join(f"n{i}w{k}" for k in range(60)) for i in range(40)]
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (5, texts[1]), (7, "aa bb cc dd ee ff gg"), (7, "hh ii jj kk ll mm nn")]
+    docs = table(spark, rows)
+    want = sorted({t for _, t in rows})
+    for result in (simhash.representatives(docs), corpus_pipeline.one_of_each(spark, docs, "")):
+        got = result.select("doc_id", "text").collect()
+        assert sorted(r["text"] for r in got) == want and (5, texts[1]) in {tuple(r) for r in got}
+    many = spark.range(2000).selectExpr("cast(null as long) doc_id", "concat('t', id) text", "'en' lang", "if(id % 4 = 0, 'a', 'b') source", "3L n_chars")
+    mixed = corpus_pipeline.mixed(spark, many, "")
+    n = {r["source"]: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert 500 < mixed.select("text").distinct().count() < 2000 and abs(n["a"] + n["b"] - 2000) < 200
+    again = corpus_pipeline.mixed(spark, many.repartition(7), "")
+    assert sorted(r["text"] for r in mixed.collect()) == sorted(r["text"] for r in again.collect())
