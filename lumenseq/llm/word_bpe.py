@@ -17,7 +17,7 @@ import numpy as np
 
 #: Below this code point a text is already in NFC, and lower-casing has no context and leads to nothing above it (bar dotted I).
 PLAIN_BELOW = 0x180
-#: Entries of a worker's cache; a full cache is emptied.
+#: Entries of a worker's cache; a full cache is emptied, and holds more only while one slice needs more.
 CACHE_ENTRIES = 1_000_000
 
 
@@ -89,10 +89,7 @@ class IdCache:
         self.flat, self.starts = array("I"), array("q", [0])
 
     def learn(self, missing: set[str]) -> None:
-        if len(self.index) + len(missing) > self.entries:
-            self._clear()
-        new = [p for p in missing if p not in self.index]
-        for piece in new:
+        for piece in missing:
             self.index[piece] = len(self.starts) - 1
             self.flat.extend(encode_piece(self.path, piece))
             self.starts.append(len(self.flat))
@@ -102,9 +99,9 @@ class IdCache:
         split = [pieces(t) for t in texts]
         needed = set(chain.from_iterable(p for p in split if p))
         if missing := needed - self.index.keys():
-            self.learn(missing)
-            if again := needed - self.index.keys():
-                self.learn(again)
+            if len(self.index) + len(missing) > self.entries:
+                self._clear()  # then all that this slice needs is learned anew, however much that is
+            self.learn(needed - self.index.keys())
         flat, starts = np.frombuffer(self.flat, dtype="u4") if len(self.flat) else np.zeros(0, "u4"), np.frombuffer(self.starts, dtype="i8")
         out = []
         for text, found in zip(texts, split, strict=True):

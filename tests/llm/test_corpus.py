@@ -379,3 +379,9 @@ def test_rows_without_an_id_or_with_one_id_are_kept(spark):
     assert 500 < mixed.select("text").distinct().count() < 2000 and abs(n["a"] + n["b"] - 2000) < 200
     again = corpus_pipeline.mixed(spark, many.repartition(7), "")
     assert sorted(r["text"] for r in mixed.collect()) == sorted(r["text"] for r in again.collect())
+
+
+def test_warm_token_cache_keeps_what_a_slice_needs():
+    cache = word_bpe.IdCache(word_bpe.default_path(), entries=3)
+    for text in ("alpha beta", "alpha gamma delta epsilon zeta", "beta alpha"):
+        assert cache.encode([text])[0].tolist() == tokens(text)
