@@ -55,6 +55,16 @@ def hash_bucket(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+def hot_lookup(rows: DataFrame, known: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``known``, whose ``keys`` are unique.
+
+    ``hot`` marks the entries of ``known`` that many rows may ask for; the caller gives a proof that they are few. They are
+    broadcast, so that rows with a hot key stay where they are; the other rows meet their entry by shuffle.
+    """
+    few = F.broadcast(known.where(hot))
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(known.where(~F.coalesce(hot, F.lit(False))), keys))
+
+
 def texts_in_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """``(first row, texts)`` for runs of rows of about ``chars`` characters, so that Python objects stay few."""
     start, held, size = 0, [], 0
