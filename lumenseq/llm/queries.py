@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenseq.llm import backoff_lm, language_id, licenses, mixing, multi_index, packing, phrases, quality, simhash, token_counts, warc
+from lumenseq.llm import backoff_lm, byte_cnn, language_id, licenses, mixing, multi_index, packing, phrases, quality, simhash, token_counts, vector_codes, warc
 from lumenseq.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query("op11_byte_cnn")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    net = byte_cnn.fit(docs, labels, ~held_out)
+    return byte_cnn.classify(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op12_vector_codes", vector_codes.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_phrases", phrases.oracle())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
