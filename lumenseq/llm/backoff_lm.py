@@ -116,7 +116,7 @@ def lm_scores(docs: DataFrame, held_out: Column, mu: float = 30.0, bucket_bytes:
     buckets = bucket_count(docs, bucket_bytes)
     ranges = max(buckets * bucket_bytes // range_bytes, 1)
     edges = np.array([i * 2**64 // ranges for i in range(1, ranges)], dtype="u8")
-    packed = pack_rows(docs.select(hash_bucket(buckets, "doc_id").alias("bucket"), "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), whole().alias("text")))
+    packed = pack_rows(docs.select(hash_bucket(buckets, "doc_id", "text").alias("bucket"), "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), whole().alias("text")))
 
     def ask(group: pa.Table) -> pa.Table:
         rows = unpack_rows(group.column("rows"))

@@ -24,6 +24,8 @@ from lumenseq.llm.common import texts_in_slices
 
 #: Labelled texts per language that training takes about, languages at most, hashed rows, size of an embedding.
 PER_LANGUAGE, MOST_LANGUAGES, ROWS, DIM = 400, 512, 1 << 15, 16
+#: How far the odds of the rejection bound lie below those of the least sure right answers.
+MARGIN = 4.0
 #: Words a worker remembers.
 CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -31,7 +33,9 @@ UNKNOWN = "und"
 
 
 def subwords(word: str) -> list[int]:
-    """Hashed rows of a word and its 2- and 3-grams, with marks at both ends."""
+    """Hashed rows of a word and its 2- and 3-grams, with marks at both ends; none where it has no letter, as number signs."""
+    if not word.isalpha() and not (word := "".join(filter(str.isalpha, word))):
+        return []
     marked = f"<{word}>"
     grams = [marked] + [marked[i : i + 2] for i in range(len(marked) - 1)] + [marked[i : i + 3] for i in range(len(marked) - 2)]
     return [zlib.crc32(g.encode()) % ROWS for g in grams]
@@ -83,22 +87,27 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, str]], languages: list[str
         model.temperature = float(grid[int(np.argmin(loss))])
         sure = softmax(scores / model.temperature)
         right = sure.max(axis=1)[sure.argmax(axis=1) == truth]
-        # one right answer in a thousand may be rejected, and never one that is likelier than not
-        model.least = float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.0
+        # below all but one right answer in a thousand, with a margin of MARGIN in the odds: a few texts do not show the rarest
+        if len(right):
+            odds = np.quantile(right, 0.001) / max(1 - np.quantile(right, 0.001), 1e-12) / MARGIN
+            model.least = float(odds / (1 + odds))
     return model
 
 
 def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, seed: int = 3) -> Model | None:
     """A model from about ``per_language`` whole texts of each ``lang`` among the rows of ``learn``, or None without any.
 
-    Counts of languages are over all rows. A text is taken where the hash of its id falls below its language's share.
+    Counts of languages are over all rows; the ``MOST_LANGUAGES`` most frequent are learned. A text is taken where the hash of
+    its id and text falls below its language's share, so rows without an id or with a repeated one are drawn each by their
+    text; of rows that repeat both one is taken. Null and empty texts, texts without a letter and null languages are not
+    learned from; an empty table gives None.
     """
     able = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
     counts = {r.lang: r.n for r in able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +122,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, seed:
                     counts_.append(list(seen.values()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(rows, pa.list_(pa.int32())), pa.array(counts_, pa.list_(pa.int64()))], ["key", "lang", "rows", "counts"])
 
-    taken = able.where(draw < shares[F.col("lang")]).select(F.xxhash64("doc_id", "text").alias("key"), "lang", "text")
+    taken = able.where(draw < shares[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"]).select(F.xxhash64("doc_id", "text").alias("key"), "lang", "text")
     found = taken.mapInArrow(featurise, "key long, lang string, rows array<int>, counts array<long>").where("size(rows) > 0").collect()
     samples = [(np.array(r.rows), np.array(r.counts, dtype="f8"), r.lang) for r in sorted(found, key=lambda r: (r.key, r.lang))]
     languages = sorted({r.lang for r in found})
@@ -138,13 +147,16 @@ class Scorer:
         size = np.fromiter(map(len, split), dtype="i8", count=len(split))
         rows = self.model.table[np.fromiter(chain.from_iterable(split), dtype="i8", count=size.sum())].astype("f8")
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.stacked = np.vstack([self.stacked, np.column_stack([np.add.reduceat(rows, np.cumsum(size) - size), size])])
+        sums = np.zeros((len(size), rows.shape[1]))
+        if size.any():
+            sums[size > 0] = np.add.reduceat(rows, (np.cumsum(size) - size)[size > 0])
+        self.stacked = np.vstack([self.stacked, np.column_stack([sums, size])])
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(best class or -1, confidence)`` of each text."""
         words = [WORD.findall(t.lower()) for t in texts]
         needed = set().union(*words)
-        if missing := needed - self.place.keys():
+        if missing := needed.difference(self.place):
             if len(self.place) + len(missing) > CACHE_WORDS:
                 self._clear()
                 missing = needed
@@ -153,33 +165,45 @@ class Scorer:
         for i, found in enumerate(words):
             if found:
                 total = self.stacked[np.fromiter(map(self.place.__getitem__, found), dtype="i8", count=len(found))].sum(axis=0)
+                if not total[-1]:
+                    continue  # number signs alone
                 p = softmax(((total[:-1] / total[-1] + self.model.bias) / self.model.temperature)[None])[0]
                 out[i], sure[i] = int(p.argmax()), float(p.max())
         return out, sure
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` and a struct ``_language``: ``lang_pred, score, rejected``.
-
-    A null text or one without a letter is ``und`` with score 0 and is rejected, as is every text where nothing could be
-    learned. Any other text gets a learned language; it is rejected where its calibrated probability is below the model's
-    bound. Long texts are read whole; repeated rows each get a row; an empty table gives no rows.
-    """
-    names = docs.columns
+def _named(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Two structs: ``doc`` with all columns of ``docs``, ``found`` with ``lang_pred, score, rejected``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: hashed rows times languages
+    rows = docs.select(F.struct("*").alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
             best, sure = [], []
-            for _, texts in texts_in_slices(batch):
+            for _, texts in texts_in_slices(pa.RecordBatch.from_arrays([batch.column("doc").field("text")], ["text"])):
                 a, b = scorer.score(texts) if scorer else (np.full(len(texts), -1), np.zeros(len(texts)))
                 best += a.tolist()
                 sure += b.tolist()
             lang = [scorer.model.languages[i] if i >= 0 else UNKNOWN for i in best]
             out = [i < 0 or p < scorer.model.least for i, p in zip(best, sure, strict=True)]
             found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], ["lang_pred", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, "_language"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), found], ["doc", "found"])
+
+    schema = rows.limit(0).withColumn("found", F.expr("named_struct('lang_pred', '', 'score', 0D, 'rejected', true)")).schema
+    return rows.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All columns of ``docs`` and a struct ``_language``: ``lang_pred, score, rejected``; a column of that name is replaced.
+
+    A null text or one without a letter is ``und`` with score 0 and is rejected, as is every text where nothing could be
+    learned. Any other text gets a learned language; it is rejected where its calibrated probability is below the model's
+    bound. Long texts are read whole; repeated rows each get a row; an empty table gives no rows.
+    """
+    return _named(docs.drop("_language"), model).select("doc.*", F.col("found").alias("_language"))
+
 
-    schema = docs.limit(0).withColumn("_language", F.expr("named_struct('lang_pred', '', 'score', 0D, 'rejected', true)")).schema
-    return docs.mapInArrow(run, schema)
+def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns as they are, whatever their names."""
+    return _named(docs, model).where("NOT found.rejected").select("doc.*")

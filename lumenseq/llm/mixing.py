@@ -10,8 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenseq.llm.common import bucket_count, whole
+from lumenseq.session import cut_lineage
+
 #: Fixed value: hexadecimal digits of the md5 that make up a draw (52 bits, exact in a double).
 _DIGITS = 13
+#: Sources whose rates are broadcast at most; bytes of text in a partition of the result, about.
+FEW_SOURCES, PARTITION_BYTES = 10_000, 64_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -58,15 +63,20 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 17, key: Column | None = None) -> DataFrame:
     """The columns of ``docs`` with ``copy`` (from 1) and ``mix_key``; a row for each copy, dealt and sorted by ``mix_key``.
 
-    The result may hold any row no, one or several times; its expected size is that of ``docs``. A null text, an empty or
-    very long one is carried as it is; rows with one ``key`` (the id when not given) draw alike, a null key as empty text; an
-    empty table gives no rows. Columns named ``copy`` or ``mix_key`` are replaced.
+    The result may hold any row no, one or several times; its expected size is that of ``docs``. Rows with one ``key`` draw
+    alike; without a ``key`` that is the id and the hash of the text, so rows without an id or with a shared one draw each by
+    their text, and only rows that repeat both draw alike. A null text, an empty or very long one is carried as it is; an
+    empty table gives no rows. Columns named ``copy`` or ``mix_key`` are replaced, all others kept.
     """
     docs = docs.drop("copy", "mix_key")
-    key = F.col("doc_id") if key is None else key
-    rates = source_rates(docs.select("source"), weights, temperature).select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
-    drawn = docs.join(rates, docs["source"].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_name", key).withColumn("_mix_draw", uniform(F.lit(seed), F.col("_mix_name")))
-    times = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_draw")))
-    copies = drawn.withColumn("_mix_times", times).where("_mix_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times").cast("long"))))
-    keyed = copies.withColumn("mix_key", uniform(F.lit(seed + 1), F.col("_mix_name"), F.col("copy"))).select(*docs.columns, "copy", "mix_key")
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(whole().cast("binary"))) if key is None else key
+    rates = cut_lineage(source_rates(docs.select("source"), weights, temperature).select("source", "cdf"))
+    if rates.count() <= FEW_SOURCES:
+        rates = F.broadcast(rates)  # at most so many sources; beyond that the rows meet their rates by shuffle
+    rows = docs.select(F.struct("*").alias("doc"), "source", key.alias("name")).withColumn("draw", uniform(F.lit(seed), F.col("name")))
+    drawn = rows.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
+    times = F.size(F.filter("r.cdf", lambda c: c <= F.col("d.draw"))).cast("long")
+    copies = drawn.select("d.doc", "d.name", times.alias("times")).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    keyed = copies.withColumn("mix_key", uniform(F.lit(seed + 1), F.col("name"), F.col("copy")))
+    # the number of partitions follows the bytes of text, so no task's share grows with the input
+    return keyed.repartition(bucket_count(docs, PARTITION_BYTES), "mix_key").sortWithinPartitions("mix_key").select("doc.*", "copy", "mix_key")

@@ -25,11 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenseq.llm.common import shuffle_partitions
 from lumenseq.session import cut_lineage
 
 #: Rows and queries of the sample that codebooks and share are fitted on; rows a cell has on average until there are most
 #: centroids; rows and queries of a block.
 FIT_ROWS, FIT_QUERIES, CELL_ROWS, BLOCK_ROWS, BLOCK_QUERIES, MOST_CENTROIDS = 16_384, 256, 16, 4_096, 1_024, 512
+#: Queries that one task traverses the index for, about.
+QUERIES_EACH = 256
 _INF = float("inf")
 
 
@@ -197,7 +200,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
             yield pa.RecordBatch.from_arrays([*batch.select(["vec_id", "v", "cell"]).columns, pa.array(block, pa.int64())], ["vec_id", "v", "cell", "block"])
 
     mix = F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(1 << 40))
-    asked = indexed.where("q").select("vec_id", "v").dropDuplicates()
+    asked = indexed.where("q").select("vec_id", "v")
+    deals = max(shuffle_partitions(vectors.sparkSession), -(-asked.count() // QUERIES_EACH))  # a stated number: narrow rows would be coalesced into one task
+    asked = asked.repartition(deals, "vec_id").dropDuplicates()
     probes = cut_lineage(asked.mapInArrow(probe, "vec_id long, v array<double>, block long, cells array<int>"))
     columns = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("cols"))
     left = probes.join(columns, "block").select("block", F.pmod(mix, F.col("cols")).cast("int").alias("col"), "vec_id", "v", "cells")

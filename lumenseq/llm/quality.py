@@ -40,9 +40,9 @@ def repeated_words(words: Column, hashes: Column, sorted_windows: Column) -> Col
     return F.aggregate(starts, first, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")))["n"]
 
 
-def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a struct ``_quality`` of counts, verdicts, share kept and cleaned text."""
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+def rated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Two structs: ``doc`` with all columns of ``docs``, and ``_quality`` with counts, verdicts, share kept and cleaned text."""
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = rows.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -64,7 +64,7 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
         "base_failed", F.expr(f"_quality.n_words < 20 OR 100 * _quality.n_repeat_words > 30 * _quality.n_words")))
     rows = rows.withColumn("_quality", F.col("_quality").withField(
         "kept", ~F.col("_quality.base_failed") & (F.col("_quality.share_kept") >= KEPT_SHARE)))
-    return rows.select(*docs.columns, "_quality")
+    return rows.select("doc", "_quality")
 
 
 def line_quality(docs: DataFrame) -> DataFrame:
@@ -73,16 +73,20 @@ def line_quality(docs: DataFrame) -> DataFrame:
     A null text has no words and fails; an empty text and one of white space likewise; repeated rows each give a row; long
     texts are read whole; an empty table gives no rows; other columns are not read.
     """
-    q = with_quality(docs.select("doc_id", "text"))
-    return q.select("doc_id", *[f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "share_kept", "clean_text")])
+    q = rated(docs.select("doc_id", "text"))
+    return q.select("doc.doc_id", *[f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "share_kept", "clean_text")])
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows that the rules keep, with bad lines gone and ``n_chars`` counted anew."""
+    """The rows that the rules keep, with bad lines gone and ``n_chars`` counted anew; all other columns as they are.
+
+    A null, empty or white text goes; a very long one is read whole; repeated rows stay as often as they come; an empty table
+    gives no rows.
+    """
     # the row number keeps the optimizer from copying the whole rule tree into the filter, once for each use of a part of it
-    rows = with_quality(docs).withColumn("_row", F.monotonically_increasing_id()).where("_quality.kept AND _row >= 0")
+    rows = rated(docs).withColumn("_row", F.monotonically_increasing_id()).where("_quality.kept AND _row >= 0")
     new = {"text": F.col("_quality.clean_text")} | ({"n_chars": F.length("_quality.clean_text").cast("long")} if "n_chars" in docs.columns else {})
-    return rows.withColumns(new).select(*docs.columns)
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def oracle() -> str:

@@ -66,12 +66,13 @@ WITH n AS (SELECT source, count(*) AS n, CAST(round(pow(count(*)::DOUBLE, 0.5) *
 rate AS (SELECT source, (SELECT sum(n) FROM n)::DOUBLE * w / (SELECT sum(w) FROM n)::DOUBLE / n AS rate FROM n),
 cdf AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
         FROM (SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT) + 1)) AS k FROM rate)),
-d AS (SELECT *, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(16, 13) AS u FROM documents),
+k AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS name FROM documents),
+d AS (SELECT *, CAST('0x' || substr(md5('17:' || name), 1, 13) AS BIGINT) / pow(16, 13) AS u FROM k),
 steps AS (SELECT source, list(p ORDER BY k) AS ps FROM cdf GROUP BY source),
 t AS (SELECT d.*, len(list_filter(ps, lambda p: p <= u)) AS times FROM d JOIN steps ON steps.source IS NOT DISTINCT FROM d.source),
-c AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1)) AS copy FROM t)
+c AS (SELECT doc_id, text, lang, source, n_chars, name, unnest(range(1, times + 1)) AS copy FROM t)
 SELECT doc_id, text, lang, source, n_chars, copy,
-       CAST('0x' || substr(md5('18:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 13) AS BIGINT) / pow(16, 13) AS mix_key FROM c""")
+       CAST('0x' || substr(md5('18:' || name || ':' || copy), 1, 13) AS BIGINT) / pow(16, 13) AS mix_key FROM c""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 

@@ -160,4 +160,4 @@ def representatives(docs: DataFrame, radius: int = 2, words_each: int = 3) -> Da
     """
     named = simhash_components(docs.select(row_key().alias("doc_id"), "text"), radius, words_each)
     least = named.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", row_key()).join(least, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return docs.select(F.struct("*").alias("doc"), row_key().alias("_row")).join(least, "_row", "left_semi").dropDuplicates(["_row"]).select("doc.*")

@@ -36,7 +36,7 @@ def frequent_pieces(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[st
         seen: Counter[str] = Counter()
         for batch in batches:
             for _, texts in texts_in_slices(batch):
-                seen.update(p for t in texts for p in W.pieces(t) or () if len(p) <= LONGEST)
+                seen.update(p for t in texts for p in W.pieces(path, t) if len(p) <= LONGEST)
                 if len(seen) > HELD:
                     seen = Counter(dict(seen.most_common(HELD // 2)))
         top = seen.most_common(PER_TASK)
@@ -47,7 +47,7 @@ def frequent_pieces(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[st
         .orderBy(F.desc("n"), "piece").limit(most).collect()
     )
     found = [r.piece for r in top]
-    return dict(zip(found, (len(e.ids) for e in W.library(path).encode_batch(found, add_special_tokens=False)), strict=True))
+    return {piece: len(W.encode_piece(path, piece)) for piece in found}
 
 
 def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) -> DataFrame:
@@ -69,14 +69,14 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
         for batch in batches:
             n_tokens: list[int] = []
             for _, texts in texts_in_slices(batch):
-                split = [W.pieces(t) for t in texts]
-                missing = list(set(chain.from_iterable(p for p in split if p)).difference(known))
+                split = [W.pieces(path, t) for t in texts]
+                needed = set(chain.from_iterable(split))
+                missing = needed.difference(known)
                 if len(known) + len(missing) > W.CACHE_ENTRIES:
                     known = dict(first_tier)
-                    missing = list(set(chain.from_iterable(p for p in split if p)).difference(known))
-                encoded = W.library(path).encode_batch_fast(missing, add_special_tokens=False)
-                known.update(zip(missing, (len(e.ids) for e in encoded), strict=True))
-                n_tokens += [len(W.encode_whole(path, t)) if p is None else sum(map(known.__getitem__, p)) for t, p in zip(texts, split, strict=True)]
+                    missing = needed.difference(known)
+                known.update((piece, len(W.encode_piece(path, piece))) for piece in missing)
+                n_tokens += [sum(map(known.__getitem__, p)) for p in split]
                 for piece in missing:
                     if len(piece) > LONGEST:
                         del known[piece]  # the cache is bounded in entries, so it holds short ones only
