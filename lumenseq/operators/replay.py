@@ -1,16 +1,19 @@
 """Predict-before-update replay of bundles, one ordered stream per key.
 
 ``walk`` is the only physical operator: rows are shuffled by (key, lane), sorted
-by ``seq`` and streamed through a model in Arrow batches. State records lead the
-stream of their lane, so no group is ever held in memory. A hot key is cut into
-lanes at run boundaries; ``lane_states`` finds the state every lane starts from,
+by ``seq`` and streamed through a model in blocks of whole runs; the built-in models
+step all keys of a block together (``lockstep``). State records lead the stream of
+their lane, so no key is ever held in memory whole. A hot key is cut into lanes at
+run boundaries; ``lane_states`` finds the state every lane starts from,
 after which all lanes replay in parallel and the result equals the serial pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from lumenseq.operators import lockstep
 from lumenseq.operators import vocab as V
 from lumenseq.operators.layout import HotKeys, hot_keys, is_hot
 from lumenseq.operators.models import BundleModel
@@ -84,72 +88,66 @@ def walk(rows: DataFrame, model: BundleModel, states: DataFrame | None = None, k
                 arrays.append(pa.array([kind] * n, field.type))
             elif field.name in columns:
                 got = columns[field.name]
+                got = got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got
                 arrays.append(got.cast(field.type) if isinstance(got, pa.Array) else pa.array(got, field.type))
             else:
                 arrays.append(pa.nulls(n, field.type))
         return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    def final_states(done: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = [(k, ln, *record) for k, ln, state in done for record in model.save(state)]
-        if found:
-            cols = list(zip(*found))
-            names = [key, "_lane", *_STATE_FIELDS]
-            yield emit(1, {n: list(v) for n, v in zip(names, cols)}, len(found))
+    kernel = lockstep.KERNELS.get(type(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = None
-        state = None
-        records: list[tuple] = []
-        open_bundle = None
-        last_seq = None
-        gathered = None
-        closing = False
-
-        for batch in batches:
-            keys, lanes, seqs, bundles = (batch.column(c).to_pylist() for c in ("_key", "_lane", "_seq", "_bundle"))
-            features = [batch.column(f"c_{c}").to_pylist() for c in wanted]
-            lead = [batch.column(f"s_{n}").to_pylist() for n in _STATE_FIELDS] if has_states else None
-            done: list[tuple] = []
-            scored: list[tuple] = []
-            position: list[int] = []
-            for i, at in enumerate(zip(keys, lanes)):
-                if at != current:
-                    if current is not None:
-                        if state is None:
-                            state = model.load(current[0], records)
-                        if closing:
-                            state = model.commit(state, gathered)
-                        done.append((*current, state))
-                    current, state, records, open_bundle, last_seq, gathered, closing = at, None, [], None, None, None, False
-                if seqs[i] < 0:
-                    records.append(tuple(col[i] for col in lead))
-                    continue
-                if state is None:
-                    state = model.load(at[0], records)
-                if closing and (bundles[i] != open_bundle or (physical and seqs[i] != last_seq + 1)):
-                    state = model.commit(state, gathered)
-                    gathered = None
-                open_bundle, last_seq, closing = bundles[i], seqs[i], True
-                row = {name: col[i] for name, col in zip(wanted, features)}
-                scored.append(model.score(state, row))
-                gathered = model.gather(state, gathered, row)
-                position.append(i)
-            if position:
-                took = pa.array(position)
-                columns = {key: batch.column("_key").take(took), "_lane": batch.column("_lane").take(took),
-                           "seq": batch.column("_seq").take(took)}
-                for c in kept:
-                    columns[c] = batch.column(f"c_{c}").take(took)
-                for (name, _), values in zip(model.outputs, zip(*scored)):
-                    columns[name] = list(values)
-                yield emit(0, columns, len(position))
-            yield from final_states(done)
-        if current is not None:
-            if state is None:
-                state = model.load(current[0], records)
-            if closing:
-                state = model.commit(state, gathered)
-            yield from final_states([(*current, state)])
+        open_key, open_state = None, None
+
+        def left_open() -> Iterator[pa.RecordBatch]:
+            if open_key is not None and (found := model.save(open_state)):
+                names = [key, "_lane", *_STATE_FIELDS]
+                yield emit(1, {n: list(v) for n, v in zip(names, zip(*[(*open_key, *r) for r in found], strict=True), strict=True)}, len(found))
+
+        for table in lockstep.blocks(batches, physical):
+            seq, first, starts = lockstep.starts_of(table, physical)
+            number = np.cumsum(first) - 1
+            at = np.flatnonzero(first)
+            keys = list(zip(table.column("_key").take(at).to_pylist(), table.column("_lane").take(at).to_pylist(), strict=True))
+            states: list = [None] * len(keys)
+            if has_states and (seq < 0).any():
+                lead = table.filter(pa.array(seq < 0))
+                records = zip(number[seq < 0].tolist(), zip(*[lead.column(f"s_{n}").to_pylist() for n in _STATE_FIELDS], strict=True), strict=True)
+                for k, group in groupby(records, key=lambda x: x[0]):
+                    states[k] = model.load(keys[k][0], [r for _, r in group])
+            if keys[0] == open_key:
+                states[0] = open_state
+            else:
+                yield from left_open()
+            body = seq >= 0
+            rows = table.filter(pa.array(body))
+            run_number = np.cumsum(starts & body)[body]
+            here = number[body]
+            begin = np.ones(len(here), bool)
+            begin[1:] = here[1:] != here[:-1]
+            run_number -= np.repeat(run_number[begin], np.diff(np.append(np.flatnonzero(begin), len(here)))) if len(here) else 0
+            block = lockstep.Block(here, run_number, {c: rows.column(f"c_{c}").combine_chunks() for c in wanted}, states)
+            if kernel is not None and len(here) and block.pays:
+                result = kernel(model, block)
+                outputs, open_state = result.outputs, result.last_state
+                who, slot, values, clock = result.records
+                closed = who < len(keys) - 1
+                if closed.any():
+                    take = pa.array(np.flatnonzero(closed))
+                    seats = pa.array(at[who[closed]])
+                    yield emit(1, {key: table.column("_key").take(seats), "_lane": table.column("_lane").take(seats), "slot": pa.array(slot[closed]),
+                                   "values": values.take(take), "clock": clock.take(take)}, len(take))
+            else:
+                outputs, final = lockstep.one_by_one(model, block, [k for k, _ in keys], wanted)
+                open_state = final[-1]
+                done = [(*k, *r) for k, state in zip(keys[:-1], final[:-1], strict=True) for r in model.save(state)]
+                if done:
+                    yield emit(1, {n: list(v) for n, v in zip([key, "_lane", *_STATE_FIELDS], zip(*done, strict=True), strict=True)}, len(done))
+            open_key = keys[-1]
+            if len(here):
+                columns = {key: rows.column("_key"), "_lane": rows.column("_lane"), "seq": rows.column("_seq"), **{c: rows.column(f"c_{c}") for c in kept}, **outputs}
+                yield emit(0, columns, len(here))
+        yield from left_open()
 
     return stream.mapInArrow(run, out)
 
