@@ -118,3 +118,9 @@ def short_history_cut(n: Column) -> tuple[Column, Column]:
 
 def split_label(rank: Column, train: Column, valid: Column) -> Column:
     return F.when(rank < train, "train").when(rank < train + valid, "valid").otherwise("test")
+
+
+def row_identity(user: str = "learner_id", source_row: str = "source_row", question: str = "item_id", solving: str = "solving_id", timestamp: str = "timestamp") -> Column:
+    """Stable identity of a raw row as a struct; its KCs are not part of it."""
+    return F.struct(F.col(user).alias("user_id"), F.col(source_row).cast("long").alias("source_row"), F.col(question).alias("question_id"),
+                    F.col(solving).cast("long").alias("solving_id"), F.col(timestamp).cast("long").alias("timestamp"))

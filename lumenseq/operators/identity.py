@@ -91,22 +91,41 @@ def trace_line() -> Column:
                     probability_token(F.col("probability")), F.lit("}"))
 
 
-def tree_hash(df: DataFrame, line: Column, group: str, order: str = "seq", hot: HotKeys | None = None) -> DataFrame:
-    """Order-sensitive hash per group as a fixed three-level tree of SHA-256.
+def tree_leaves(df: DataFrame, line: Column, group: str, order: str = "seq", hot: HotKeys | None = None, fanout: int = TREE_FANOUT) -> DataFrame:
+    """Lowest level of the hash tree: a hash, a row count and the span of ``order`` for each ``fanout`` lines of a group.
 
-    Lines are numbered inside the group; blocks of TREE_FANOUT lines are hashed in
-    parallel, then blocks of block hashes, then the top. No task sees more than
-    TREE_FANOUT lines of one group at once. Any edit, drop or swap changes it.
+    Lines are numbered inside the group; no task sees more than ``fanout`` lines of one group at once. Stored beside the
+    data, the leaves prove a part of it without the rest, and tell where it differs.
     """
     numbered = scan(df.select(group, order, line.alias("_line")), [group], order, [Running("_at", "count")], hot)
-    level = numbered.select(F.col(group), F.col("_at").cast("long").alias("_at"), F.col("_line").alias("_h"), F.lit(1).cast("long").alias("_n"))
-    for _ in range(2):
-        block = F.floor(F.col("_at") / F.lit(TREE_FANOUT)).cast("long")
-        level = level.groupBy(group, block.alias("_b")).agg(_packed(), F.sum("_n").alias("_n")).withColumnRenamed("_b", "_at")
+    level = numbered.select(F.col(group), F.col(order), F.col("_at").cast("long").alias("_at"), F.col("_line").alias("_h"))
+    leaves = level.groupBy(group, F.floor(F.col("_at") / F.lit(fanout)).cast("long").alias("leaf")).agg(
+        _packed(), F.count(F.lit(1)).alias("row_count"), F.min(order).alias("first_seq"), F.max(order).alias("last_seq"))
+    return leaves.withColumnRenamed("_h", "leaf_hash")
+
+
+def tree_roots(leaves: DataFrame, group: str) -> DataFrame:
+    """Hash and row count of each group from its leaves: one more level of blocks, then the top."""
+    level = leaves.select(F.col(group), F.col("leaf").alias("_at"), F.col("leaf_hash").alias("_h"), F.col("row_count").alias("_n"))
+    block = F.floor(F.col("_at") / F.lit(TREE_FANOUT)).cast("long")
+    level = level.groupBy(group, block.alias("_b")).agg(_packed(), F.sum("_n").alias("_n")).withColumnRenamed("_b", "_at")
     return level.groupBy(group).agg(_packed(), F.sum("_n").alias("_n")).select(
         group, F.col("_h").alias("tree_hash"), F.col("_n").alias("row_count"))
 
 
+def tree_hash(df: DataFrame, line: Column, group: str, order: str = "seq", hot: HotKeys | None = None) -> DataFrame:
+    """Order-sensitive hash per group as a fixed three-level tree of SHA-256; any edit, drop or swap changes it."""
+    return tree_roots(tree_leaves(df, line, group, order, hot), group)
+
+
+def damaged_leaves(stored: DataFrame, observed: DataFrame, group: str) -> DataFrame:
+    """Leaves whose stored and observed hash differ, or that exist on one side only, with their spans."""
+    a = stored.select(group, "leaf", F.col("leaf_hash").alias("_sh"), F.col("row_count").alias("stored_rows"), F.col("first_seq").alias("_sf"), F.col("last_seq").alias("_sl"))
+    b = observed.select(group, "leaf", F.col("leaf_hash").alias("_oh"), F.col("row_count").alias("observed_rows"), F.col("first_seq").alias("_of"), F.col("last_seq").alias("_ol"))
+    return a.join(b, [group, "leaf"], "full").where(~F.col("_sh").eqNullSafe(F.col("_oh"))).select(
+        group, "leaf", F.coalesce("_sf", "_of").alias("first_seq"), F.coalesce("_sl", "_ol").alias("last_seq"), "stored_rows", "observed_rows")
+
+
 def _packed() -> Column:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda x: x["_h"])
     return F.sha2(F.concat_ws("\n", ordered), 256).alias("_h")

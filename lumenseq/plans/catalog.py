@@ -658,6 +658,24 @@ def split_tree_hash(spark, d):
     return I.tree_hash(rows, I.row_json(rows), "split")
 
 
+@query("damaged_leaves", KT1 + """
+, l AS (SELECT split, seq, (row_number() OVER (PARTITION BY split ORDER BY seq) - 1) // 256 AS leaf FROM splitrows)
+SELECT split, leaf, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS stored_rows, count(*) AS observed_rows
+FROM l GROUP BY split, leaf HAVING count(*) FILTER (seq % 1009 = 0) > 0""")
+def damaged_leaves(spark, d):
+    """Leaves of a stored hash tree that no longer fit after one answer in 1,009 was turned over."""
+    rows = Kt1(spark, d).prepared
+    leaves = lambda df: I.tree_leaves(df, I.row_json(df), "split", fanout=256)
+    turned = rows.withColumn("correct", F.when(F.col("seq") % 1009 == 0, 1 - F.col("correct")).otherwise(F.col("correct")))
+    return I.damaged_leaves(cut_lineage(leaves(rows)), leaves(turned), "split")
+
+
+@query("row_identity", KT1 + "SELECT interaction_id, concat_ws('|', learner_id, source_row, item_id, solving_id, ts_ms) AS row_identity FROM splitrows")
+def row_identity(spark, d):
+    made = Kt1(spark, d).split.select("interaction_id", S.row_identity().alias("r"))
+    return made.select("interaction_id", F.concat_ws("|", *[F.col(f"r.{c}").cast("string") for c in ("user_id", "source_row", "question_id", "solving_id", "timestamp")]).alias("row_identity"))
+
+
 _PROV = "concat_ws(',', learner_id, source_row, item_id, solving_id, ts_ms, split)"
 
 

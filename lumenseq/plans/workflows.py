@@ -19,11 +19,11 @@ from lumenseq.operators import validate as L
 from lumenseq.operators import vocab as V
 from lumenseq.operators.fit import train
 from lumenseq.operators.layout import ordinal
-from lumenseq.operators.models import ETA_R, L2, THETA_LR, AbilityModel, BundleModel, ResidualModel, check_model
+from lumenseq.operators.models import B_LR, ETA_R, L2, THETA_LR, AbilityModel, BundleModel, ResidualModel, check_model
 from lumenseq.operators.windows import runs
 from lumenseq.plans.tables import TutorLog
 from lumenseq.session import cut_lineage
-from lumenseq.sources import files, sinks
+from lumenseq.sources import files, sealed, sinks
 
 
 #: Labels that enter the identity of a published dataset; a changed rule takes a new one.
@@ -46,8 +46,21 @@ def _tree(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in I.tree_hash(df, I.row_json(df), "split").orderBy("split").collect()]
 
 
-def _identity(rows: DataFrame, dataset_id: str, cohort: DataFrame | None, **vocabularies: DataFrame) -> dict:
-    """Splits with hash and count, a hash of each vocabulary, and the document that binds them."""
+def _raw_hash(*hashed: DataFrame) -> str | None:
+    """Tree hash over name and SHA-256 of every raw file, in the order of the names: a changed file changes the identity."""
+    every = hashed[0]
+    for more in hashed[1:]:
+        every = every.unionByName(more)
+    found = I.tree_hash(ordinal(every, ["name", "sha256"], "seq").withColumn("g", F.lit(0)), F.concat_ws(":", "name", "sha256"), "g").first()
+    return found["tree_hash"] if found else None
+
+
+def _dropped(marked: DataFrame) -> DataFrame:
+    return marked.where("drop_reason IS NOT NULL").groupBy(F.col("drop_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _identity(rows: DataFrame, dataset_id: str, cohort: DataFrame | None, raw: str | None = None, **vocabularies: DataFrame) -> dict:
+    """Splits with hash and count, hashes of each vocabulary and of the raw files, and the document that binds them."""
     def ordered(vocab: DataFrame) -> str | None:
         found = I.tree_hash(vocab.select(F.lit(0).alias("g"), F.col("idx").alias("seq"), "id"), F.col("id").cast("string"), "g").first()
         return found["tree_hash"] if found else None
@@ -58,7 +71,7 @@ def _identity(rows: DataFrame, dataset_id: str, cohort: DataFrame | None, **voca
     _, logical = I.dataset_identity(dataset_id, PROTOCOL, PREPROCESSING, members,
                                     [(s["split"], s["tree_hash"], s["row_count"]) for s in splits],
                                     hashes["items"], hashes["kcs"])
-    return {"splits": splits, "vocabularies": hashes, "cohort": members, "logical_hash": logical}
+    return {"splits": splits, "vocabularies": hashes, "cohort": members, "raw_files": raw, "logical_hash": logical}
 
 
 def prepare_kt1(spark: SparkSession, raw_dir: str, questions: str, out: str, pilot: tuple[int, int] | None = None,
@@ -91,14 +104,15 @@ def prepare_kt1(spark: SparkSession, raw_dir: str, questions: str, out: str, pil
     if expected:
         _require_empty(L.count_gate(summary, expected), "frozen counts differ")
     rows, items, kcs = cut_lineage(rows), cut_lineage(items), cut_lineage(kcs)
-    identity = _identity(rows, "kt1", members, items=items, kcs=kcs)
+    read = files.hash_files(spark, raw_dir, "u*.csv").join(members.select(F.concat(F.col(members.columns[0]), F.lit(".csv")).alias("name")), "name", "left_semi")
+    identity = _identity(rows, "kt1", members, _raw_hash(read, files.hash_files(spark, questions)), items=items, kcs=kcs)
 
     def write(path: str) -> None:
         sinks.write_splits(rows, f"{path}/rows")
         items.write.parquet(f"{path}/items")
         kcs.write.parquet(f"{path}/kcs")
         sinks.write_manifest(spark, f"{path}/manifest.json", identity, summary,
-                             V.oov_counts(rows.where(F.col("split") == "test"), items))
+                             V.oov_counts(rows.where(F.col("split") == "test"), items), dropped=_dropped(kept))
 
     return sinks.publish_if_changed(spark, out, identity, write, rebuild), identity
 
@@ -119,13 +133,13 @@ def prepare_tutor(spark: SparkSession, csv: str, out: str, expected: dict[str, i
         _require_empty(L.count_gate(summary, expected), "frozen counts differ")
     if summary.first()["derived_cross_boundary_bundles"]:
         raise WorkflowError("bundle closure left a TRAIN/VALID crossing bundle")
-    identity = _identity(rows, "tutor", None, learners=log.learners, items=log.items, kcs=log.skills)
+    identity = _identity(rows, "tutor", None, _raw_hash(files.hash_files(spark, csv)), learners=log.learners, items=log.items, kcs=log.skills)
 
     def write(path: str) -> None:
         sinks.write_splits(rows, f"{path}/rows", extra=("source_row", "skill_id"))
         for name, vocab in (("learners", log.learners), ("items", log.items), ("skills", log.skills)):
             vocab.write.parquet(f"{path}/{name}")
-        sinks.write_manifest(spark, f"{path}/manifest.json", identity, summary)
+        sinks.write_manifest(spark, f"{path}/manifest.json", identity, summary, dropped=_dropped(log.marked))
 
     return sinks.publish_if_changed(spark, out, identity, write, rebuild), identity
 
@@ -157,17 +171,18 @@ def _vocabularies(rows: DataFrame, learners: DataFrame | None, items: DataFrame
 
 
 def fit_valid(rows: DataFrame, kind: str, rule: str = "token", state_path: str | None = None,
-              learners: DataFrame | None = None, items: DataFrame | None = None) -> dict:
+              learners: DataFrame | None = None, items: DataFrame | None = None, eta: float = ETA_R,
+              theta_lr: float = THETA_LR, b_lr: float = B_LR, l2: float = L2) -> dict:
     """TRAIN pass, optional state save, VALID pass with difficulty frozen, masked metrics.
 
-    Masked rows and rows outside the vocabularies neither train nor validate.
+    Masked rows and rows outside the vocabularies neither train nor validate. The saved state names the rates it was trained with.
     """
-    model, residual = _model(kind, rule)
+    model, residual = _model(kind, rule, eta, theta_lr, l2)
     known = _vocabularies(rows, learners, items)
-    fit = train(ordinal(R.phase_input(rows, "train", *known), ["seq"], "seq"), residual=residual)
+    fit = train(ordinal(R.phase_input(rows, "train", *known), ["seq"], "seq"), residual=residual, theta_lr=theta_lr, b_lr=b_lr, l2=l2)
     states = cut_lineage(R.states_of(fit.walked))
     if state_path:
-        sinks.save_state(states, fit.difficulty, state_path, kind, rule)
+        sinks.save_state(states, fit.difficulty, state_path, kind, rule, eta, theta_lr, b_lr, l2)
     valid = ordinal(R.phase_input(rows, "valid", *known, fit.difficulty), ["seq"], "seq")
     trace = R.trace_of(cut_lineage(R.replay(valid, model, states, keep=("interaction_id", "correct", "metric_mask"))))
     out = {"valid": _scores(trace), "sweeps": fit.sweeps, "step": fit.step}
@@ -230,6 +245,7 @@ class UserRun:
     metrics: dict
     trace_hash: list[dict]
     states: DataFrame
+    identity: dict | None = None
 
 
 def _trace_hash(predictions: DataFrame) -> list[dict]:
@@ -271,13 +287,15 @@ def run_user_model(rows: DataFrame, model: BundleModel, roles: list[tuple[str, s
 
 
 def run_user_directory(spark: SparkSession, directory: str, model: BundleModel) -> UserRun:
-    """User model on a canonical directory: declaration, validation, membership, then the run."""
-    declared = files.read_declaration(spark, directory)
+    """User model on a canonical directory: declaration, id files, validation, membership, then the run and the data's identity."""
+    data = files.read_directory(spark, directory)
+    declared, data.rows = data.declared, cut_lineage(data.rows)
     check_model(model, declared["oov_representation_semantics_id"])
-    rows = cut_lineage(files.read_canonical(spark, directory))
-    _require_empty(L.validate(rows).drop("message"), "invalid dataset")
-    _require_empty(P.outside_declared_splits(rows, declared["split_order"]).select("interaction_id", "split"), "undeclared split")
-    return run_user_model(rows, model, declared["split_roles"], declared["oov_representation_semantics_id"])
+    _require_empty(L.validate(data.rows).drop("message"), "invalid dataset")
+    _require_empty(P.outside_declared_splits(data.rows, declared["split_order"]).select("interaction_id", "split"), "undeclared split")
+    run = run_user_model(data.rows, model, declared["split_roles"], declared["oov_representation_semantics_id"])
+    run.identity = sealed.directory_identity(data)
+    return run
 
 
 def inspect_canonical(rows: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, dict]:

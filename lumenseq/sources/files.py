@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lumenseq.functions.scalars import is_kc_token
 from lumenseq.operators.cleaning import question_catalog
 from lumenseq.operators.splits import split_roles
 from lumenseq.schema import CANONICAL_FIELDS, canonical_schema
@@ -161,6 +163,33 @@ def read_canonical(spark: SparkSession, directory: str, name: str = "interaction
     return canonical_from_lines(numbered_lines(spark, f"{directory}/{name}"))
 
 
+def read_kc_ids(spark: SparkSession, path: str) -> DataFrame:
+    """KC vocabulary file: like any id file, and every id a canonical decimal integer."""
+    ids = read_ordered_ids(spark, path)
+    bad = ids.where(~is_kc_token(F.col("id"))).limit(1).collect()
+    if bad:
+        raise SourceError(f"{path}: kc id {bad[0]['id']!r} is not a canonical decimal integer")
+    return ids
+
+
+@dataclass
+class CanonicalDirectory:
+    """A canonical directory: declaration, rows in stored order, id tables ``(idx, id)`` in file order."""
+
+    declared: dict
+    rows: DataFrame
+    learners: DataFrame
+    items: DataFrame
+    kcs: DataFrame
+
+
+def read_directory(spark: SparkSession, directory: str) -> CanonicalDirectory:
+    """All files of a canonical directory; each is required and checked by its own reader."""
+    return CanonicalDirectory(
+        read_declaration(spark, directory), read_canonical(spark, directory), read_ordered_ids(spark, f"{directory}/learner_ids.txt"),
+        read_ordered_ids(spark, f"{directory}/item_ids.txt"), read_kc_ids(spark, f"{directory}/kc_ids.txt"))
+
+
 def read_role(spark: SparkSession, directory: str, role: str) -> DataFrame:
     """Rows of one role; other roles' files are pruned and never opened."""
     rows = spark.read.parquet(directory).where(F.col("role") == role)
@@ -175,6 +204,9 @@ def read_prepared(spark: SparkSession, directory: str, split: str, columns: list
     absent = [c for c in (columns or []) if c not in rows.columns]
     if absent:
         raise SourceError(f"{directory}: missing columns {absent}")
+    foreign = rows.select("split").distinct().where(~F.col("split").isin("train", "valid", "test") | F.col("split").isNull()).limit(1).collect()
+    if foreign:
+        raise SourceError(f"{directory}: foreign split {foreign[0][0]!r}")
     chosen = rows.where(F.col("split") == split)
     return chosen.select(*columns) if columns else chosen
 
@@ -209,6 +241,8 @@ def read_declaration(spark: SparkSession, directory: str, name: str = "declarati
     texts = [k for k in DECLARATION_REQUIRED if k not in ("split_order", "split_roles", "provenance")]
     if any(not isinstance(payload[k], str) or not payload[k] for k in texts):
         raise SourceError("declaration text fields must be non-empty strings")
+    if not isinstance(payload["provenance"], dict):
+        raise SourceError("provenance must be a JSON object")
     order = payload["split_order"]
     if not isinstance(order, list) or not order or len(set(order)) != len(order):
         raise SourceError("split_order must list distinct split ids")

@@ -71,9 +71,11 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(read_text(spark, path))
 
 
-def write_manifest(spark: SparkSession, path: str, identity: dict, *summaries: DataFrame) -> dict:
-    """Identity plus one-row summaries, collected as counters only."""
+def write_manifest(spark: SparkSession, path: str, identity: dict, *summaries: DataFrame, dropped: DataFrame | None = None) -> dict:
+    """Identity plus one-row summaries, collected as counters only, and dropped rows per reason (``reason, n``)."""
     document = {"identity": identity}
+    if dropped is not None:
+        document["dropped"] = {r["reason"]: r["n"] for r in dropped.collect()}  # a row per rule
     for frame in summaries:
         rows = frame.limit(2).collect()
         if len(rows) != 1:
@@ -111,8 +113,9 @@ def publish_if_changed(spark: SparkSession, destination: str, identity: dict, wr
     return "prepared"
 
 
-def save_state(states: DataFrame, difficulty: DataFrame, path: str, model_kind: str, rule: str = "token", eta: float = ETA_R) -> None:
-    """Ability, difficulty and residual tables plus a one-row header."""
+def save_state(states: DataFrame, difficulty: DataFrame, path: str, model_kind: str, rule: str = "token", eta: float = ETA_R,
+               theta_lr: float = THETA_LR, b_lr: float = B_LR, l2: float = L2) -> None:
+    """Ability, difficulty and residual tables plus a one-row header with the rule and rates of the training."""
     if model_kind not in ("irt", "ar_kt"):
         raise SourceError(f"no state format for model {model_kind!r}: irt and ar_kt have one")
     spark = states.sparkSession
@@ -121,7 +124,7 @@ def save_state(states: DataFrame, difficulty: DataFrame, path: str, model_kind:
     states.where("slot >= 0").select(
         "learner_id", F.col("slot").alias("kc"), F.col("values")[0].alias("r"), F.lit(True).alias("seen"),
         F.col("clock").alias("last_ts")).write.parquet(f"{path}/resid")
-    header = dict(format_id=STATE_FORMAT, model_kind=model_kind, rule=rule, eta=eta, theta_lr=THETA_LR, b_lr=B_LR, l2=L2)
+    header = dict(format_id=STATE_FORMAT, model_kind=model_kind, rule=rule, eta=eta, theta_lr=theta_lr, b_lr=b_lr, l2=l2)
     write_json(spark, f"{path}/header.json", header)
 
 

@@ -7,7 +7,7 @@ from lumenseq.operators import identity as I
 from lumenseq.operators import validate as L
 from lumenseq.operators.models import REQUIRED_METADATA, AbilityModel, CountModel
 from lumenseq.plans import workflows
-from lumenseq.sources import files, sinks
+from lumenseq.sources import files, sealed, sinks
 
 QUESTIONS = """question_id,bundle_id,explanation_id,correct_answer,part,tags
 q1,b1,e1,a,1,5;2;182
@@ -114,6 +114,9 @@ def canonical_dir(spark, tmp_path, mutate=None):
     declaration = {k: "x" for k in files.DECLARATION_REQUIRED} | files.DECLARATION_VERSIONS
     declaration |= {"split_order": ["train", "valid"], "split_roles": {"train": "train", "valid": "valid"}, "provenance": {}}
     (d / "declaration.json").write_text(json.dumps(declaration))
+    (d / "learner_ids.txt").write_text("eve\nann\nbob\n")
+    (d / "item_ids.txt").write_text("fractions-1\nfractions-2\nangles-1\nangles-2\nroots-1\n")
+    (d / "kc_ids.txt").write_text("21\n3\n8\n11\n")
     return str(d), declaration
 
 
@@ -214,3 +217,78 @@ def test_fit_evaluate_round_trip(spark, tmp_path):
     seen = {r["seq"]: r["b"] for r in workflows.R.phase_input(odd, "test", *vocab, spark.read.parquet(f"{state}/b")).collect()}
     assert seen[14] == b["q0"] != 0.0 and len(seen) == 9 and seen[13] == b["q1"]
     assert workflows.smoke(df, "irt", str(tmp_path / "smoke"))["n"] == 24
+
+
+def test_directory_with_id_files(spark, tmp_path):
+    directory, declared = canonical_dir(spark, tmp_path)
+    data = files.read_directory(spark, directory)
+    assert [r["id"] for r in data.learners.orderBy("idx").collect()] == ["eve", "ann", "bob"]
+    first = sealed.directory_identity(data)
+    assert set(first) == {"splits", "vocabularies", "logical_hash", "contract_hash"}
+    kcs = tmp_path / "canon" / "kc_ids.txt"
+    kcs.write_text("3\n21\n8\n11\n")  # another order is another dataset
+    again = sealed.directory_identity(files.read_directory(spark, directory))
+    assert again["logical_hash"] != first["logical_hash"] and again["vocabularies"]["items"] == first["vocabularies"]["items"]
+    for text, message in (("3\n03\n", "canonical decimal"), ("3\n3\n", "repeated"), ("3\n\n4\n", "blank"), ("+3\n", "canonical decimal")):
+        kcs.write_text(text)
+        with pytest.raises(files.SourceError, match=message):
+            files.read_directory(spark, directory)
+    kcs.unlink()
+    with pytest.raises(Exception, match="kc_ids"):
+        files.read_directory(spark, directory)
+
+
+def sealed_rows(spark):
+    rows = [(i, f"i{i}", f"u{i % 7}", f"q{i % 5}", i % 2, [i % 3], i // 7, float(i), f"u{i % 7}|{i // 7}", ("train", "valid", "test")[min(i // 40, 2)], True) for i in range(120)]
+    return spark.createDataFrame(rows, "seq long, interaction_id string, learner_id string, item_id string, correct long, kc_ids array<long>, order long, timestamp double, bundle_id string, split string, metric_mask boolean")
+
+
+def test_sealed_roles(spark, tmp_path):
+    rows, path = sealed_rows(spark), str(tmp_path / "sealed")
+    declared = {k: "x" for k in files.DECLARATION_REQUIRED} | {"split_roles": [("train", "train"), ("valid", "valid"), ("test", "test")], "split_order": ["train", "valid", "test"]}
+    items = spark.createDataFrame([(i, f"q{i}") for i in range(5)], "idx long, id string")
+    document = sealed.write_sealed(rows, path, declared, fanout=8, items=items)
+    assert {s["split"]: s["row_count"] for s in document["splits"]} == {"train": 40, "valid": 40, "test": 40}
+    seal = sealed.open_sealed(spark, path)
+    assert sorted(r["seq"] for r in sealed.read_sealed_role(seal, "valid").collect()) == list(range(40, 80))
+    # a changed TEST row is named by its leaf, and VALID still reads
+    changed = rows.withColumn("correct", F.when(F.col("seq") == 99, 1 - F.col("correct")).otherwise(F.col("correct")))
+    assert [(r["leaf"], r["first_seq"], r["last_seq"]) for r in sealed.damage(seal, changed.where("split = 'test'"), "test").collect()] == [(2, 96, 103)]
+    files_of = lambda df: df.where("split = 'test'").drop("role")
+    target = f"{path}/rows/role=test"
+    files_of(changed).write.mode("overwrite").parquet(target)
+    with pytest.raises(files.SourceError, match=r"test.*leaf 2 \(seq 96 to 103\)"):
+        sealed.read_sealed_role(sealed.open_sealed(spark, path), "test")
+    assert sealed.read_sealed_role(seal, "valid").count() == 40
+    rows.where("seq >= 79").write.mode("overwrite").parquet(target)
+    with pytest.raises(files.SourceError, match="another split: .'i79'"):
+        sealed.read_sealed_role(seal, "test")
+    with pytest.raises(files.SourceError, match="not declared"):
+        sealed.read_sealed_role(seal, "spare")
+    for name, value in (("logical_hash", "0" * 64), ("contract_hash", "0" * 64), ("splits", document["splits"][:2])):
+        stored = sinks.read_json(spark, f"{path}/sealed.json")
+        sinks.write_json(spark, f"{path}/sealed.json", stored | {name: value})
+        with pytest.raises(files.SourceError, match="sealed"):
+            sealed.open_sealed(spark, path)
+        sinks.write_json(spark, f"{path}/sealed.json", stored)
+    stored = sinks.read_json(spark, f"{path}/sealed.json")
+    sinks.write_json(spark, f"{path}/sealed.json", stored | {"declaration": stored["declaration"] | {"metric_mask_semantics": "other"}})
+    with pytest.raises(files.SourceError, match="contract_hash"):
+        sealed.open_sealed(spark, path)
+
+
+def test_saved_rates_are_those_of_the_training(spark, tmp_path):
+    rows = sealed_rows(spark).withColumn("tag_idxs", F.col("kc_ids"))
+    out = workflows.fit_valid(rows, "ar_kt", state_path=str(tmp_path / "state"), theta_lr=0.2, b_lr=0.1, l2=0.0, eta=0.5)
+    header = sinks.load_state(spark, str(tmp_path / "state"), "ar_kt")[0]
+    assert (header["theta_lr"], header["b_lr"], header["l2"], header["eta"]) == (0.2, 0.1, 0.0, 0.5)
+    assert workflows.evaluate_test(rows, "ar_kt", str(tmp_path / "state"), out["valid"], out["valid_global"])["valid"]["ok"]
+
+
+def test_prepared_scan_refuses_a_foreign_split(spark, tmp_path):
+    rows = sealed_rows(spark)
+    rows.write.partitionBy("split").parquet(str(tmp_path / "good"))
+    assert files.read_prepared(spark, str(tmp_path / "good"), "test").count() == 40
+    rows.withColumn("split", F.when(F.col("seq") == 3, "spare").otherwise(F.col("split"))).write.partitionBy("split").parquet(str(tmp_path / "bad"))
+    with pytest.raises(files.SourceError, match="foreign split 'spare'"):
+        files.read_prepared(spark, str(tmp_path / "bad"), "test")
