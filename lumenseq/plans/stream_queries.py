@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenseq.operators.models import AbilityModel, ResidualModel
@@ -144,3 +144,112 @@ def stream_metrics_tumbling(spark, d):
 @query("stream_metrics_sliding", _WINDOW.format(start="unnest([(ts_ms // 86400000) * 86400000, (ts_ms // 86400000 - 1) * 86400000])"))
 def stream_metrics_sliding(spark, d):
     return _windowed(spark, d, "2 days", "1 day")
+
+
+# --- deliveries under a real watermark -----------------------------------------------------------
+
+
+def _delivered(spark, sent: DataFrame, deliveries: int, make) -> DataFrame:
+    """Land ``sent`` one ``_delivery`` after the other; each is one trigger, followed by the one that moves the watermark."""
+    sent = cut_lineage(sent)
+    landing, folder = scratch_path(spark, "landing"), scratch_path(spark, "stream")
+    plain = sent.drop("_delivery")
+    out = None
+    for delivery in range(deliveries):
+        sent.where(F.col("_delivery") == delivery).drop("_delivery").write.mode("append").parquet(landing)
+        out = online.run_available(make(spark.readStream.schema(plain.schema).parquet(landing)), folder)
+    return out
+
+
+def _week() -> Column:
+    return F.least(F.expr("datediff(ts, '2024-01-01') div 7"), F.lit(4))
+
+
+#: What the watermark was before a delivery: the newest event of all earlier ones less the delay.
+_MARK = """
+wm AS (SELECT delivery + 1 AS delivery, max(max(ts_ms)) OVER (ORDER BY delivery) - {delay} AS wm FROM sent GROUP BY delivery)"""
+_SENT_LATE = """
+, sent AS (SELECT canon.*, least(solving_id // 7, 4) + CASE WHEN seq % 50 = 7 THEN 1 ELSE 0 END AS delivery FROM canon),""" + _MARK.format(delay=3_600_000)
+
+_GAP = KT1 + """
+, sent AS (SELECT *, (item_no * 7 % 11 - 5) / 10.0e0 AS b, CASE WHEN item_no % 5 = 0 THEN 'review' ELSE 'practice' END AS name, solving_id // 6 AS delivery FROM canon),""" + _MARK.format(delay=3_600_000) + """,
+placed AS (SELECT sent.*, wm, lag(name) OVER o AS last_name, lag(ts_ms) OVER o AS last_ms, lag(sent.delivery) OVER o AS last_delivery
+           FROM sent LEFT JOIN wm USING (delivery) WINDOW o AS (PARTITION BY learner_id ORDER BY seq)),
+numbered AS (SELECT *, sum(CASE WHEN last_name IS NULL THEN 0 WHEN name <> last_name OR (delivery > last_delivery AND last_ms + 43200000 <= wm) THEN 1 ELSE 0 END)
+                       OVER (PARTITION BY learner_id ORDER BY seq) AS rn FROM placed),
+runs AS (SELECT learner_id, rn, list(struct_pack(y := correct, b := b)) AS items FROM numbered GROUP BY ALL),
+rec AS (
+  SELECT DISTINCT learner_id, CAST(0 AS BIGINT) AS rn, 0.0e0 AS theta FROM runs
+  UNION ALL
+  SELECT rec.learner_id, rec.rn + 1, rec.theta + 0.05e0 * (list_avg(list_transform(runs.items, lambda x: """ + _ERR + """)) - 1e-4 * rec.theta)
+  FROM rec JOIN runs ON runs.learner_id = rec.learner_id AND runs.rn = rec.rn)
+SELECT 'e' || numbered.seq AS interaction_id, """ + number(SIGMOID.format("rec.theta - numbered.b")) + """ AS probability, CAST(0 AS BIGINT) AS late
+FROM numbered JOIN rec USING (learner_id, rn)"""
+
+
+@query("stream_gap_closed", _GAP)
+def stream_gap_closed(spark, d):
+    """Bundles a learner may come back to: a timer closes them after twelve hours, so the pause decides the score after it."""
+    events, catalog = table(spark, d, "events"), Kt1(spark, d).catalog
+    sent = events.withColumn("_delivery", F.expr("datediff(ts, '2024-01-01') div 6"))
+
+    def scored(source: DataFrame) -> DataFrame:
+        rows = canonical_rows(source, catalog).withColumn("bundle_id", F.when(item_number() % 5 == 0, "review").otherwise("practice"))
+        return online.online_scores(rows.withWatermark("event_time", "1 hour"), AbilityModel(), gap_ms=43_200_000)
+
+    out = _delivered(spark, sent, 5, scored)
+    return out.select("interaction_id", rounded("probability").alias("probability"), F.col("late").cast("long").alias("late"))
+
+
+def _sent_late(spark, d) -> DataFrame:
+    return table(spark, d, "events").withColumn("_delivery", _week() + F.when(F.col("event_id") % 50 == 7, 1).otherwise(0))
+
+
+@query("stream_metrics_late", KT1 + _SENT_LATE + """,
+kept AS (SELECT *, 1.0e0 / (2 + item_no % 5) AS p, (ts_ms // 86400000) * 86400000 AS w FROM sent LEFT JOIN wm USING (delivery)
+         WHERE wm IS NULL OR (ts_ms // 86400000 + 1) * 86400000 > wm)
+SELECT w AS window_start, """ + number("avg(-(correct * ln(p) + (1 - correct) * ln(1 - p)))") + " AS nll, " + number("avg((p - correct) * (p - correct))") + """ AS brier, count(*) AS n
+FROM kept WHERE w + 86400000 <= (SELECT max(wm) FROM wm) GROUP BY w""")
+def stream_metrics_late(spark, d):
+    """Append mode: a day is given out once the watermark has passed it; rows that come after that are left out."""
+    catalog = Kt1(spark, d).catalog
+
+    def measured(source: DataFrame) -> DataFrame:
+        rows = canonical_rows(source, catalog).withColumn("metric_mask", F.lit(True)).withColumn("probability", 1.0 / (2 + item_number() % 5))
+        return online.windowed_metrics(rows, "event_time", "1 hour", "1 day")
+
+    return _delivered(spark, _sent_late(spark, d), _DELIVERIES, measured).select(
+        F.unix_millis("window_start").alias("window_start"), rounded("nll").alias("nll"), rounded("brier").alias("brier"), "n")
+
+
+@query("stream_sessions", KT1 + _SENT_LATE + """,
+kept AS (SELECT *, lag(ts_ms) OVER o AS last_ms, lag(delivery) OVER o AS last_delivery FROM sent LEFT JOIN wm USING (delivery)
+         WHERE wm IS NULL OR ts_ms + 21600000 > wm WINDOW o AS (PARTITION BY learner_id ORDER BY seq)),
+numbered AS (SELECT *, sum(CASE WHEN last_ms IS NULL OR ts_ms - last_ms >= 21600000 OR (delivery > last_delivery AND last_ms + 21600000 <= wm) THEN 1 ELSE 0 END)
+                       OVER (PARTITION BY learner_id ORDER BY seq) AS session FROM kept)
+SELECT learner_id, min(ts_ms) AS session_start, max(ts_ms) + 21600000 AS session_end, count(*) AS n, CAST(sum(correct) AS BIGINT) AS right_answers
+FROM numbered GROUP BY learner_id, session HAVING max(ts_ms) + 21600000 <= (SELECT max(wm) FROM wm)""")
+def stream_sessions(spark, d):
+    """Sessions of a learner, closed by six hours without a row, each given out once and then forgotten."""
+    catalog = Kt1(spark, d).catalog
+    make = lambda source: online.session_totals(canonical_rows(source, catalog), "event_time", "1 hour", "6 hours")
+    return _delivered(spark, _sent_late(spark, d), _DELIVERIES, make).select(
+        "learner_id", F.unix_millis("session_start").alias("session_start"), F.unix_millis("session_end").alias("session_end"), "n", "right_answers")
+
+
+@query("stream_dedup_late", """
+WITH sent AS (SELECT event_id, epoch_us(ts) // 1000 AS ts_ms,
+                     least(least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7, 4) + CASE WHEN event_id % 50 = 11 THEN 3 ELSE 0 END, 5) AS delivery FROM events),""" + _MARK.format(delay=864_000_000) + """
+SELECT 'e' || event_id AS interaction_id FROM sent LEFT JOIN wm USING (delivery) WHERE wm IS NULL OR ts_ms > wm""")
+def stream_dedup_late(spark, d):
+    """Events sent again one or three deliveries later, some first sent three late: ids are held for ten days, older rows are refused."""
+    events, number_ = table(spark, d, "events"), F.col("event_id") % 50
+    again = F.array(F.when(number_ == 11, 3).otherwise(0), F.when(number_ == 7, 1).when(number_ == 8, 3))
+    sent = events.withColumn("_late", F.explode(F.filter(again, lambda x: x.isNotNull())))
+    sent = sent.withColumn("_delivery", F.least(_week() + F.col("_late"), F.lit(5))).drop("_late")
+
+    def once(source: DataFrame) -> DataFrame:
+        rows = source.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("interaction_id"), F.col("ts").cast("timestamp").alias("t"))
+        return online.online_dedup(rows, "t", "10 days")
+
+    return _delivered(spark, sent, _DELIVERIES, once).select("interaction_id")

@@ -5,24 +5,96 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenseq.functions import scalars as S
 from lumenseq.operators.models import BundleModel
 from lumenseq.operators.validate import row_issues
 
-STATE = T.StructType([T.StructField("state", T.BinaryType()), T.StructField("gathered", T.BinaryType()),
-                      T.StructField("bundle", T.StringType()), T.StructField("last_seq", T.LongType()),
-                      T.StructField("late", T.LongType())])
+#: Keyed state with maps and timers needs this store.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+PLACE = "bundle string, last_seq long, late long, due long"
+SLOT = "slot long"
+RECORD = "values array<double>, clock long, blob binary"
+SCORED = "learner_id string, seq long, interaction_id string, probability double, late boolean"
 
-def _plain(value):
-    """Arrow list cells arrive as arrays; models expect plain lists and numbers."""
-    return value.tolist() if hasattr(value, "tolist") else value
+
+class OnlineScorer(StatefulProcessor):
+    """One learner's state between triggers: where the log stands, the model's records by slot, and the open bundle.
+
+    A record is written only when its bundle has changed it, so a learner with many slots costs what the trigger touched.
+    What the model gathered for the open bundle is kept apart and emptied by the commit.
+    """
+
+    def __init__(self, model: BundleModel, bundle: str, gap_ms: int | None):
+        self.model, self.bundle, self.gap_ms = model, bundle, gap_ms
+        self.features = list(dict.fromkeys([*model.columns, "correct"]))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", PLACE)
+        self.gathered = handle.getValueState("gathered", "blob binary")
+        self.records = handle.getMapState("records", SLOT, RECORD)
+
+    def _load(self, key):
+        held = [(slot[0], None if r[0] is None else list(r[0]), r[1], r[2]) for slot, r in self.records.iterator()]
+        held.sort(key=lambda r: r[0])
+        return self.model.load(key[0], held), {r[0]: r[1:] for r in held}
+
+    def _save(self, state, before: dict) -> None:
+        for slot, values, clock, blob in self.model.save(state):
+            if before.get(slot) != (values, clock, blob):
+                self.records.updateValue((slot,), (values, clock, blob))
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        r = initialState
+        self.records.updateValue((r["slot"],), (r["values"], r["clock"], r["blob"]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        open_bundle, last_seq, late, due = self.place.get() if self.place.exists() else (None, -1, 0, None)
+        gathered = pickle.loads(self.gathered.get()[0]) if open_bundle is not None else None
+        state, before = self._load(key)
+        moved, newest = False, None
+        # Arrow batches of a trigger come in any order; the rows of one learner and trigger are put in order.
+        for row in sorted(rows, key=lambda r: r["seq"]):
+            seq = row["seq"]
+            if seq <= last_seq:
+                late += 1
+                yield Row(learner_id=key[0], seq=seq, interaction_id=row["interaction_id"], probability=None, late=True)
+                continue
+            if open_bundle is not None and row[self.bundle] != open_bundle:
+                state, gathered, moved = self.model.commit(state, gathered), None, True
+            record = {c: row[c] for c in self.features}
+            probability = float(self.model.score(state, record)[0])
+            yield Row(learner_id=key[0], seq=seq, interaction_id=row["interaction_id"], probability=probability, late=False)
+            gathered = self.model.gather(state, gathered, record)
+            open_bundle, last_seq = row[self.bundle], seq
+            if self.gap_ms is not None:
+                newest = row["_event_ms"] if newest is None else max(newest, row["_event_ms"])
+        if moved:
+            self._save(state, before)
+        if newest is not None:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = max(newest + self.gap_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+        if open_bundle is not None:
+            self.gathered.update((pickle.dumps(gathered, protocol=4),))
+        self.place.update((open_bundle, last_seq, late, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        open_bundle, last_seq, late, _ = self.place.get()
+        if open_bundle is not None:
+            state, before = self._load(key)
+            self._save(self.model.commit(state, pickle.loads(self.gathered.get()[0])), before)
+            self.gathered.clear()
+        self.place.update((None, last_seq, late, None))
+        return iter([])
 
 
 def online_scores(stream: DataFrame, model: BundleModel, bundle: str = "bundle_id", gap_ms: int | None = None,
@@ -30,74 +102,20 @@ def online_scores(stream: DataFrame, model: BundleModel, bundle: str = "bundle_i
     """Score each arriving row from the learner's state before its bundle.
 
     The key is the learner; its open bundle is committed when another bundle
-    starts or, with ``gap_ms``, when event time passes the last row by the gap.
-    Rows at or before the last accepted ``seq`` of the learner are late: they are
-    reported with a null probability and never move state. ``start`` may carry
-    trained state records, joined to the rows as a static table.
+    starts or, with ``gap_ms``, by a timer when the watermark passes the last row
+    by the gap. Rows at or before the last accepted ``seq`` of the learner are
+    late: they are reported with a null probability and never move state.
+    ``start`` may carry trained state records; they enter the state once, before
+    the first trigger.
     """
-    features = list(dict.fromkeys([*model.columns, "correct"]))
-    columns = ["learner_id", "seq", "interaction_id", bundle, *features]
-    columns = list(dict.fromkeys(columns))
+    features = [*model.columns, "correct"]
+    columns = list(dict.fromkeys(["learner_id", "seq", "interaction_id", bundle, *features]))
+    timed = []
     if gap_ms is not None:
-        columns.append("event_time")
-    rows = stream
-    if start is not None:
-        packed = start.groupBy("learner_id").agg(F.collect_list(F.struct("slot", "values", "clock", "blob")).alias("_start"))
-        rows = rows.join(packed, "learner_id", "left")
-        columns.append("_start")
-    schema = T.StructType([T.StructField("learner_id", T.StringType()), T.StructField("seq", T.LongType()),
-                           T.StructField("interaction_id", T.StringType()), T.StructField("probability", T.DoubleType()),
-                           T.StructField("late", T.BooleanType())])
-    out_names = [f.name for f in schema.fields]
-
-    def step(key, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        if held.exists:
-            blob, gathered_blob, open_bundle, last_seq, late = held.get
-            state = pickle.loads(blob)
-            gathered = pickle.loads(gathered_blob) if gathered_blob is not None else None
-        else:
-            state, gathered, open_bundle, last_seq, late = None, None, None, -1, 0
-
-        def keep():
-            held.update((pickle.dumps(state, protocol=4), None if gathered is None else pickle.dumps(gathered, protocol=4),
-                         open_bundle, last_seq, late))
-
-        if held.hasTimedOut:
-            if open_bundle is not None:
-                state, gathered, open_bundle = model.commit(state, gathered), None, None
-            keep()
-            return
-        newest = None
-        parts = [pdf for pdf in batches]
-        # A trigger may split a learner over Arrow batches in any order; one trigger's rows are put in order.
-        pdf = pd.concat(parts).sort_values("seq") if len(parts) > 1 else parts[0].sort_values("seq")
-        found = []
-        for record in pdf.to_dict("records"):
-            seq = int(record["seq"])
-            if seq <= last_seq:
-                late += 1
-                found.append((key[0], seq, record["interaction_id"], None, True))
-                continue
-            if state is None:
-                lead = record.get("_start")
-                records = [] if lead is None else [(r["slot"], _plain(r["values"]), r["clock"], r["blob"]) for r in lead]
-                state = model.load(key[0], records)
-            if open_bundle is not None and record[bundle] != open_bundle:
-                state, gathered = model.commit(state, gathered), None
-            row = {c: _plain(record[c]) for c in features}
-            found.append((key[0], seq, record["interaction_id"], float(model.score(state, row)[0]), False))
-            gathered = model.gather(state, gathered, row)
-            open_bundle, last_seq = record[bundle], seq
-            if gap_ms is not None:
-                stamp = int(pd.Timestamp(record["event_time"]).timestamp() * 1000)
-                newest = stamp if newest is None else max(newest, stamp)
-        keep()
-        if gap_ms is not None and newest is not None:
-            held.setTimeoutTimestamp(max(newest + gap_ms, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=out_names)
-
-    timeout = GroupStateTimeout.NoTimeout if gap_ms is None else GroupStateTimeout.EventTimeTimeout
-    return rows.select(*columns).groupBy("learner_id").applyInPandasWithState(step, schema, STATE, "append", timeout)
+        timed = ["event_time", F.unix_millis("event_time").alias("_event_ms")]
+    initial = start.select("learner_id", "slot", "values", "clock", "blob").groupBy("learner_id") if start is not None else None
+    return stream.select(*[c for c in columns if c != "event_time"], *timed).groupBy("learner_id").transformWithState(
+        OnlineScorer(model, bundle, gap_ms), T.StructType.fromDDL(SCORED), "append", "none" if gap_ms is None else "eventTime", initial)
 
 
 def online_issues(stream: DataFrame) -> DataFrame:
@@ -121,13 +139,35 @@ def windowed_metrics(scored: DataFrame, time_column: str, delay: str, width: str
     )
 
 
+def session_totals(stream: DataFrame, time_column: str, delay: str, gap: str, key: str = "learner_id") -> DataFrame:
+    """Rows and right answers of each session of a learner: a session ends after ``gap`` without a row.
+
+    In append mode a session is given out once the watermark has passed its end, and its state is freed.
+    """
+    return (
+        stream.withWatermark(time_column, delay).groupBy(F.session_window(time_column, gap).alias("_w"), key)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("right_answers"))
+        .select(key, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "n", "right_answers")
+    )
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Drain a stream into parquet under ``folder`` and return the written table."""
+    """Drain a stream into parquet under ``folder`` and return the written table.
+
+    The state store that timers and map state need is set for the start of this query only.
+    """
     out = f"{folder}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", out)
     else:
         writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-    writer.start().awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKS)
+    try:
+        running = writer.start()
+    finally:
+        conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
+    running.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
