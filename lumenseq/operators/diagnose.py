@@ -132,32 +132,42 @@ def tutor_diagnostics(marked: DataFrame, closed: DataFrame, canonical: DataFrame
     split = F.col("split")
     rows = canonical.agg(
         F.count(F.lit(1)).alias("eligible_rows"),
-        F.countDistinct("learner_id").alias("learners"),
-        F.countDistinct("item_id").alias("items"),
-        F.countDistinct("skill_id").alias("kcs"),
-        F.countDistinct("bundle_id").alias("bundles"),
-        *[_hit(split == s).alias(f"{s}_rows") for s in ("train", "valid", "test")],
-        F.countDistinct(F.when(split == "train", F.col("bundle_id"))).alias("train_bundles"),
-        F.countDistinct(F.when(split == "valid", F.col("bundle_id"))).alias("valid_bundles"),
-        F.countDistinct(F.when(split == "train", F.col("learner_id"))).alias("n_train_users"),
-        F.countDistinct(F.when(split == "valid", F.col("learner_id"))).alias("n_valid_users"),
         _hit(F.col("metric_mask")).alias("metric_eligible_rows"),
         _hit(~F.col("metric_mask")).alias("oov_rows"),
         _hit(F.size("kc_ids") > 1).alias("multi_kc_rows"),
         F.coalesce(_hit(F.size("kc_ids") > 1) / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias("multi_kc_rate"),
     )
-    closure = closed.groupBy("student_id", "timestamp").agg(
-        _hit(F.col("promoted")).alias("_p"),
-        F.max(F.col("crossing").cast("int")).alias("_x"),
-        F.max((split == "train").cast("int")).alias("_t"),
-        F.max((split == "valid").cast("int")).alias("_v"),
-    ).agg(
-        F.coalesce(F.sum("_p"), F.lit(0)).alias("promoted_to_valid"),
-        _hit(F.col("_x") == 1).alias("nominal_cross_boundary_bundles"),
-        _hit((F.col("_t") == 1) & (F.col("_v") == 1)).alias("derived_cross_boundary_bundles"),
+    # Distinct counts are rolled up: one row per bundle with flags, one per student, one in all. Every row is aggregated once.
+    splits = ("train", "valid", "test")
+    bundles = closed.groupBy("student_id", "timestamp").agg(
+        _hit(F.col("promoted")).alias("_promoted"),
+        F.max(F.col("crossing").cast("int")).alias("_crossing"),
+        *[_hit(split == s).alias(f"_{s}") for s in splits],
+    )
+    has = lambda s: (F.col(f"_{s}") > 0).cast("long")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    students_seen = bundles.groupBy("student_id").agg(
+        F.count(F.lit(1)).alias("_bundles"),
+        F.sum("_promoted").alias("_promoted"),
+        F.sum((F.col("_crossing") == 1).cast("long")).alias("_crossing"),
+        F.sum(has("train") * has("valid")).alias("_derived"),
+        *[F.sum(f"_{s}").alias(f"_{s}") for s in splits],
+        *[F.sum(has(s)).alias(f"_{s}_bundles") for s in ("train", "valid")],
+    )
+    closure = students_seen.agg(
+        F.count(F.lit(1)).alias("learners"),
+        total("_bundles", "bundles"),
+        *[total(f"_{s}", f"{s}_rows") for s in splits],
+        *[total(f"_{s}_bundles", f"{s}_bundles") for s in ("train", "valid")],
+        *[total(has(s), f"n_{s}_users") for s in ("train", "valid")],
+        total("_promoted", "promoted_to_valid"),
+        total("_crossing", "nominal_cross_boundary_bundles"),
+        total("_derived", "derived_cross_boundary_bundles"),
     )
+    items_seen = closed.agg(F.countDistinct("problem_id").alias("items"))
+    skills_seen = closed.agg(F.countDistinct("skill_id").alias("kcs"))
     size = lambda v, n: v.agg(F.count(F.lit(1)).alias(n))
-    wide = one_row(drops, rows, closure, size(students, "n_students_vocab"),
+    wide = one_row(drops, rows, closure, items_seen, skills_seen, size(students, "n_students_vocab"),
                    size(items, "n_questions_vocab"), size(skills, "n_skills_vocab"))
     return wide.withColumn("n_questions_full", F.col("items")).withColumn("n_skills_full", F.col("kcs"))
 

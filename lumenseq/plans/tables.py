@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenseq.operators import cleaning as C
 from lumenseq.operators import splits as P
 from lumenseq.operators import vocab as V
-from lumenseq.operators.layout import HotKeys, Running, densify, hot_keys, ordinal, prefix_by_int, scan
+from lumenseq.operators.layout import HotKeys, Running, densify, hot_keys, ordinal_within, prefix_by_int, scan
 from lumenseq.session import cut_lineage
 
 
@@ -120,7 +120,7 @@ def tutor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") > 6, "2").otherwise("1").alias("attempt_count"),
     )
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    return ordinal(rows, keys, "source_row").drop(*keys)
+    return ordinal_within(rows, keys[0], keys[1:], "source_row", hot_keys(items, ["l_orderkey"])).drop(*keys)
 
 
 @dataclass
@@ -136,11 +136,12 @@ class TutorLog:
     @cached_property
     def ordered(self) -> DataFrame:
         """Eligible rows in global (student, timestamp, source row) order."""
-        return C.tutor_order(C.eligible(self.marked))
+        return C.tutor_order(C.eligible(self.marked), self.hot)
 
     @cached_property
     def hot(self) -> HotKeys:
-        return hot_keys(self.ordered, ["student_id"])
+        """Students above the hot threshold, counted before any row is dropped."""
+        return hot_keys(self.marked.select("student_id").where(F.col("student_id").isNotNull()), ["student_id"])
 
     @cached_property
     def nominal(self) -> DataFrame:
