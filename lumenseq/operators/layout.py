@@ -254,22 +254,6 @@ def ordinal(df: DataFrame, keys: Sequence[Column | str], name: str = "seq") -> D
     return out.select(*kept, (F.col("_off") + F.col("_at_pos")).alias(name))
 
 
-def ordinal_within(df: DataFrame, lead: str, rest: Sequence[str], name: str, hot: HotKeys) -> DataFrame:
-    """The index of ``ordinal`` over ``(lead, *rest)``, found from the keys alone: rows stay where the hash of ``lead`` puts them.
-
-    Each value of ``lead`` (never null) starts behind the rows of all smaller ones, which are summed over one row per value;
-    inside it rows are ranked. No wide row is sampled, written or moved once more. ``hot`` are the values of ``lead`` too large
-    for one task: where there are any, all rows are laid out by range.
-    """
-    if hot:
-        return ordinal(df, [lead, *rest], name)
-    sizes = df.groupBy(lead).agg(F.count(F.lit(1)).alias("_own"))
-    starts = range_prefix(sizes, [lead], {"_start": F.col("_own")}).select(F.col(lead).alias("_lead"), "_start")
-    ranked = scan(df, [lead], rest, [Running("_at", "count")], hot)
-    kept = [F.col(c) for c in df.columns if c != name]
-    return ranked.join(starts, F.col(lead) == F.col("_lead")).select(*kept, (F.col("_start") + F.col("_at")).alias(name))
-
-
 def range_prefix(
     df: DataFrame, keys: Sequence[Column | str], sums: dict[str, Column]
 ) -> DataFrame:

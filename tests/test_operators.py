@@ -259,14 +259,3 @@ def test_current_label_never_changes_its_own_score(spark):
     assert all(base[s] == flipped[s] for s in bundle) and base != flipped
     none = score(df.withColumn("tag_idxs", F.array().cast("array<bigint>")))
     assert none == base
-
-
-@pytest.mark.parametrize("limit", [2, 1000])
-def test_ordinal_within_equals_ordinal(spark, limit):
-    """Negative leads, ties in the first of the other keys, one lead with a third of the rows; hot or not, the same index."""
-    rows = [(0 if i % 3 else i % 7 - 3, (i * 7) % 5, i) for i in range(90)]
-    df = spark.createDataFrame(rows, "lead long, at long, row long")
-    got = layout.ordinal_within(df, "lead", ["at", "row"], "seq", layout.hot_keys(df, ["lead"], limit)).collect()
-    assert [(r["lead"], r["at"], r["row"]) for r in sorted(got, key=lambda r: r["seq"])] == sorted(rows)
-    assert sorted(r["seq"] for r in got) == list(range(90))
-    assert layout.ordinal_within(df.limit(0), "lead", ["at", "row"], "seq", layout.hot_keys(df.limit(0), ["lead"])).count() == 0
