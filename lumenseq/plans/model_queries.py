@@ -196,14 +196,42 @@ def user_model(spark, d):
     return trace.select("interaction_id", rounded("probability").alias("probability"))
 
 
-@query("irt_train")
+# One step a run over the whole log: difficulties of all items move along, ability and residuals start anew with each learner.
+_TRAIN = KT1 + f"""
+, ix AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_no) AS i FROM (SELECT DISTINCT item_id, item_no FROM contig)),
+runs AS (SELECT learner_id, row_number() OVER (ORDER BY min(seq)) - 1 AS g, min(seq) AS first_seq, max(seq) AS last_seq,
+         list(struct_pack(y := correct, i := i) ORDER BY seq) AS items, flatten(list(kc_ids)) AS toks
+         FROM contig JOIN ix USING (item_id) GROUP BY learner_id, solving_id),
+kcount AS MATERIALIZED (SELECT *, list_transform(range(101), lambda q: {_COUNT_KC}) AS kc FROM runs),
+rec AS (
+  SELECT CAST(-1 AS BIGINT) AS g, '' AS learner_id, 0.0e0 AS theta_pre, 0.0e0 AS theta, list_transform(range((SELECT count(*) FROM ix)), lambda z: 0.0e0) AS b_pre,
+         list_transform(range((SELECT count(*) FROM ix)), lambda z: 0.0e0) AS b, {_ZERO} AS r_pre, {_ZERO} AS r
+  UNION ALL
+  SELECT g, learner_id, t, t + 0.05e0 * (list_avg(list_transform(err, lambda x: x.e)) - 1e-4 * t), b,
+         list_transform(b, lambda v, i: CASE WHEN list_contains(list_transform(err, lambda x: x.i), i)
+           THEN v + 0.02e0 * (-(list_filter(err, lambda x: x.i = i)[-1].e) - 1e-4 * v) ELSE v END), r,
+         list_transform(range(101), lambda q: CASE WHEN kc[q + 1] > 0
+           THEN 0.8e0 * r[q + 1] + 0.2e0 * list_avg(list_transform(err, lambda x: x.e)) / kc[q + 1] ELSE r[q + 1] END)
+  FROM (SELECT s.*, list_transform(items, lambda x: struct_pack(i := x.i, e := x.y - {SIGMOID.format("t - b[x.i]")})) AS err
+        FROM (SELECT k.*, rec.b, CASE WHEN k.learner_id = rec.learner_id THEN rec.theta ELSE 0.0e0 END AS t,
+                     CASE WHEN k.learner_id = rec.learner_id THEN rec.r ELSE {_ZERO} END AS r
+              FROM rec JOIN kcount k ON k.g = rec.g + 1) s) step)
+"""
+
+
+@query("irt_train", _TRAIN + "SELECT item_id, " + number("b[i]") + " AS b FROM ix, (SELECT b FROM rec ORDER BY g DESC LIMIT 1)")
 def irt_train(spark, d):
     k = Kt1(spark, d)
     fit = train(k.contiguous, learner_hot=k.hot)
     return fit.difficulty.select("item_id", rounded("b").alias("b"))
 
 
-@query("arkt_train")
+@query("arkt_train", _TRAIN + f"""
+, pred AS (
+  SELECT interaction_id, theta_pre - b_pre[i] AS z,
+         CASE WHEN len(kc_ids) = 0 THEN 0.0e0 ELSE list_avg(list_transform(kc_ids, lambda c: r_pre[c + 1])) END AS r_bar
+  FROM contig JOIN ix USING (item_id) JOIN runs ON runs.learner_id = contig.learner_id AND contig.seq BETWEEN first_seq AND last_seq JOIN rec ON rec.g = runs.g)
+SELECT interaction_id, {number(SIGMOID.format("z"))} AS p_global, {number("r_bar")} AS r_bar, {number(SIGMOID.format("z + r_bar"))} AS probability FROM pred""")
 def arkt_train(spark, d):
     k = Kt1(spark, d)
     rows = k.contiguous.withColumn("tag_idxs", F.col("kc_ids"))
