@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenseq.operators.layout import HotKeys, Running, ordinal, scan
 from lumenseq.operators.models import BundleModel
 from lumenseq.operators.replay import replay, trace_of
+from lumenseq.session import cut_lineage
 
 
 class ChunkModel(BundleModel):
@@ -58,6 +59,12 @@ def learner_slabs(chunks: DataFrame, width: int) -> DataFrame:
     return chunks.join(learners, "learner_id").withColumn("pool", pool).withColumn("step", F.col("chunk"))
 
 
+def _latest_before(df: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """Per run: the latest earlier place (``run_first_seq``) at which one of the run's keys stood before."""
+    seen = scan(df, key, order, [Running("_before", "max", F.col("run_first_seq"))])
+    return seen.groupBy("run_first_seq").agg(F.max("_before").alias(name))
+
+
 def parity_window(rows: DataFrame, max_len: int | None = None) -> DataFrame:
     """Earliest span of complete runs in which all ten coverage conditions hold.
 
@@ -65,7 +72,12 @@ def parity_window(rows: DataFrame, max_len: int | None = None) -> DataFrame:
     ``learner_id``, ``bundle_id``, ``item_id``, ``correct``, ``tags`` and
     ``sentinel``. Runs with a sentinel are barriers; the span starts right after
     the previous barrier and ends with the first run that completes the set.
+
+    A repetition lies inside the span when the key's latest earlier place is past
+    the last barrier, so each condition is a mark on its run and one grouping
+    by the last barrier merges all ten. Empty input gives no row.
     """
+    rows = cut_lineage(rows.select("seq", "run_first_seq", "learner_id", "bundle_id", "item_id", "correct", "tags", "sentinel"))
     per_run = rows.groupBy("run_first_seq").agg(
         F.first("learner_id").alias("learner_id"), F.first("bundle_id").alias("bundle_id"),
         F.count(F.lit(1)).alias("n"), F.max(F.col("sentinel").cast("int")).alias("barrier"),
@@ -73,39 +85,29 @@ def parity_window(rows: DataFrame, max_len: int | None = None) -> DataFrame:
         F.max((F.size("tags") >= 2).cast("int")).alias("multi"),
         F.max((F.size("tags") != F.size(F.array_distinct("tags"))).cast("int")).alias("repeat"),
     )
-    one = per_run.withColumn("_all", F.lit(0))
-    # The barrier count is a running sum over all runs; slices keep it distributed.
-    segmented = scan(one, ["_all"], "run_first_seq", [Running("segment", "sum", F.col("barrier"))])
-    clean = segmented.where("barrier = 0").select(*per_run.columns, "segment")
-    starts = segmented.groupBy("segment").agg(
-        F.min(F.when(F.col("barrier") == 0, F.col("run_first_seq"))).alias("start"))
-
-    def first_time(events: DataFrame, key: list[str], times: int) -> DataFrame:
-        """Per segment: position of the first run where some key reaches ``times`` occurrences."""
-        ranked = scan(events, ["segment", *key], ["run_first_seq", "_tie"], [Running("_k", "count")])
-        return ranked.where(F.col("_k") == times - 1).groupBy("segment").agg(F.min("run_first_seq").alias("at"))
-
-    tagged = lambda df, name: df.select("segment", F.lit(name).alias("what"), "at")
-    flag = lambda cond, name: tagged(clean.where(cond).groupBy("segment").agg(F.min("run_first_seq").alias("at")), name)
-    in_clean = rows.join(clean.select("run_first_seq", "segment"), "run_first_seq")
-    runs0 = clean.withColumn("_tie", F.lit(0))
-    items = in_clean.select("segment", "run_first_seq", F.col("seq").alias("_tie"), "item_id")
-    concepts = in_clean.select("segment", "run_first_seq", F.explode("tags").alias("kc")).distinct().withColumn("_tie", F.lit(0))
-    learners = clean.groupBy("segment", "learner_id").agg(F.min("run_first_seq").alias("run_first_seq")).withColumn("_tie", F.lit(0))
-    found = [
-        flag(F.col("n") == 1, "single"), flag(F.col("n") > 1, "several"), flag(F.col("has0") == 1, "zero"),
-        flag(F.col("has1") == 1, "one"), flag(F.col("multi") == 1, "multi"), flag(F.col("repeat") == 1, "repeat"),
-        tagged(first_time(runs0, ["learner_id", "bundle_id"], 2), "reappear"),
-        tagged(first_time(items, ["item_id"], 2), "item"),
-        tagged(first_time(concepts, ["kc"], 2), "exposure"),
-        tagged(first_time(learners, [], 2), "learners"),
-    ]
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    ready = every.groupBy("segment").agg(F.max("at").alias("last_run"), F.count(F.lit(1)).alias("met")).where("met = 10")
-    ended = ready.join(clean.select("segment", F.col("run_first_seq").alias("last_run"), "n"), ["segment", "last_run"])
-    spans = ended.join(starts, "segment").select("segment", "start", (F.col("last_run") + F.col("n")).alias("end"))
+    concepts = rows.select("run_first_seq", F.explode("tags").alias("kc")).distinct()
+    pairs = scan(per_run.select("run_first_seq", "learner_id", "bundle_id"), ["learner_id", "bundle_id"], "run_first_seq",
+                 [Running("pair_before", "max", F.col("run_first_seq"))]).select("run_first_seq", "pair_before")
+    marked = per_run.join(pairs, "run_first_seq").join(
+        _latest_before(rows.select("run_first_seq", "seq", "item_id"), ["item_id"], ["seq"], "item_before"), "run_first_seq").join(
+        _latest_before(concepts, ["kc"], ["run_first_seq"], "kc_before"), "run_first_seq", "left")
+    placed = scan(marked.withColumn("_all", F.lit(0)), ["_all"], "run_first_seq", [
+        Running("since", "max", F.when(F.col("barrier") == 1, F.col("run_first_seq"))),
+        Running("learner_before", "last", F.col("learner_id")), Running("run_before", "max", F.col("run_first_seq"))])
+    since = F.coalesce("since", F.lit(-1))
+    met = {
+        "single": F.col("n") == 1, "several": F.col("n") > 1, "zero": F.col("has0") == 1, "one": F.col("has1") == 1,
+        "multi": F.col("multi") == 1, "repeat": F.col("repeat") == 1, "reappear": F.col("pair_before") > since,
+        "item": F.col("item_before") > since, "exposure": F.col("kc_before") > since,
+        "learners": (F.col("run_before") > since) & (F.col("learner_before") != F.col("learner_id")),
+    }
+    place = F.struct("run_first_seq", "n")
+    spans = placed.where("barrier = 0").groupBy(since.alias("since")).agg(
+        F.min("run_first_seq").alias("start"), *[F.min(F.when(held, place)).alias(name) for name, held in met.items()])
+    for name in met:
+        spans = spans.where(F.col(name).isNotNull())
+    last = F.greatest(*met)
+    spans = spans.select("start", (last["run_first_seq"] + last["n"]).alias("end"))
     if max_len is not None:
         spans = spans.where(F.col("end") - F.col("start") <= max_len)
     return spans.orderBy("start").limit(1).select("start", "end")

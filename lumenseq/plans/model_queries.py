@@ -341,9 +341,33 @@ def learner_slabs(spark, d):
     return sequence.learner_slabs(chunks, 16).select("learner_id", "run", "chunk", "pool")
 
 
-@query("parity_window")
+def _second(rows: str, key: str, order: str) -> str:
+    """First run of each segment at which some key occurs for the second time."""
+    return f"""SELECT segment, min(run) AS pos FROM (SELECT segment, run, row_number() OVER (PARTITION BY segment{key} ORDER BY {order}) AS k
+      FROM {rows}) WHERE k = 2 GROUP BY segment"""
+
+
+@query("parity_window", KT1 + f"""
+, st AS (SELECT *, lag(learner_id || chr(1) || bundle_id) OVER (ORDER BY seq) IS DISTINCT FROM learner_id || chr(1) || bundle_id AS fresh FROM dense),
+rn AS (SELECT *, max(CASE WHEN fresh THEN seq END) OVER (ORDER BY seq) AS run FROM st),
+per AS (SELECT run, min(learner_id) AS learner_id, min(bundle_id) AS bundle_id, count(*) AS n, bool_or(seq % 997 = 996) AS barrier, bool_or(correct = 0) AS has0,
+        bool_or(correct = 1) AS has1, bool_or(len(kc_ids) >= 2) AS multi, bool_or(len(kc_ids) <> len(list_distinct(kc_ids))) AS rep FROM rn GROUP BY run),
+sg AS (SELECT *, count_if(barrier) OVER (ORDER BY run) AS segment FROM per),
+cl AS (SELECT * FROM sg WHERE NOT barrier),
+ro AS (SELECT rn.seq, rn.run, rn.item_id, rn.kc_ids, cl.segment FROM rn JOIN cl USING (run)),
+co AS (SELECT DISTINCT segment, run, unnest(kc_ids) AS kc FROM ro),
+le AS (SELECT segment, learner_id, min(run) AS run FROM cl GROUP BY ALL),
+hits AS (
+  SELECT segment, min(run) AS pos FROM cl WHERE n = 1 GROUP BY segment UNION ALL SELECT segment, min(run) FROM cl WHERE n > 1 GROUP BY segment
+  UNION ALL SELECT segment, min(run) FROM cl WHERE has0 GROUP BY segment UNION ALL SELECT segment, min(run) FROM cl WHERE has1 GROUP BY segment
+  UNION ALL SELECT segment, min(run) FROM cl WHERE multi GROUP BY segment UNION ALL SELECT segment, min(run) FROM cl WHERE rep GROUP BY segment
+  UNION ALL {_second("cl", ", learner_id, bundle_id", "run")} UNION ALL {_second("ro", ", item_id", "seq")}
+  UNION ALL {_second("co", ", kc", "run")} UNION ALL {_second("le", "", "run")}),
+ready AS (SELECT segment, max(pos) AS pos FROM hits GROUP BY segment HAVING count(*) = 10)
+SELECT (SELECT min(run) FROM cl WHERE cl.segment = ready.segment) AS start, pos + n AS "end" FROM ready JOIN cl ON cl.segment = ready.segment AND cl.run = pos
+ORDER BY start LIMIT 1""")
 def parity_window(spark, d):
-    """Window over the interleaved source order; rows with an empty KC list are sentinels."""
+    """Window over the interleaved source order; every 997th row is a sentinel."""
     k = Kt1(spark, d)
     rows = W.runs(k.dense, physical=True, hot=k.hot)
     marked = rows.withColumn("tags", F.col("kc_ids")).withColumn("sentinel", (F.col("seq") % 997 == 996))
