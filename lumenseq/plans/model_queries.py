@@ -13,11 +13,13 @@ from lumenseq.operators import replay as R
 from lumenseq.operators import vocab as V
 from lumenseq.operators import windows as W
 from lumenseq.operators.fit import train
+from lumenseq.operators.fitted import ItemRateModel
 from lumenseq.operators.models import AbilityModel, CountModel, MemoryModel, RecurrentModel, ResidualModel, check_model
+from lumenseq.plans import workflows
 from lumenseq.plans.catalog import _AUC, _AUC_OUT, _COUNT, metric_columns, query, rounded, scored_rows
 from lumenseq.plans.oracle import KT1, SIGMOID, TUTOR, number
 from lumenseq.plans.tables import Kt1, Tutor
-from lumenseq.session import cut_lineage
+from lumenseq.session import cut_lineage, scratch_path
 
 
 def item_number() -> Column:
@@ -383,3 +385,25 @@ def tutor_arkt_eval(spark, d):
         ((F.pmod(F.col("problem_idx") * 7, F.lit(11)) - 5) / 10.0).alias("b"), F.array("skill_idx").alias("tag_idxs"), "split")
     trace = R.trace_of(R.replay(rows, ResidualModel(rule="skill_mean"), keep=("split",)))
     return trace.where(F.col("split") == "valid").select("seq", rounded("probability").alias("probability"))
+
+
+@query("fitted_model_eval", KT1 + f"""
+, rate AS (SELECT item_id, ln((count(*) - sum(correct) + 1.0e0) / (sum(correct) + 1.0e0)) AS b FROM splitrows WHERE split = 'train' GROUP BY item_id),
+rr AS (SELECT s.*, coalesce(rate.b, 0.0e0) AS b FROM splitrows s LEFT JOIN rate USING (item_id) WHERE split <> 'train'),
+runs AS (SELECT learner_id, solving_id, dense_rank() OVER (PARTITION BY learner_id ORDER BY solving_id) - 1 AS rn,
+         list(struct_pack(y := correct, b := b)) AS items FROM rr GROUP BY learner_id, solving_id),
+rec AS (
+  SELECT DISTINCT learner_id, CAST(0 AS BIGINT) AS rn, 0.0e0 AS theta FROM runs
+  UNION ALL
+  SELECT rec.learner_id, rec.rn + 1, rec.theta + 0.05e0 * (list_avg(list_transform(runs.items, lambda x: {_ERR})) - 1e-4 * rec.theta)
+  FROM rec JOIN runs ON runs.learner_id = rec.learner_id AND runs.rn = rec.rn)
+SELECT interaction_id, split, {number(SIGMOID.format("theta - b"))} AS probability
+FROM rr JOIN runs USING (learner_id, solving_id) JOIN rec ON rec.learner_id = runs.learner_id AND rec.rn = runs.rn""")
+def fitted_model_eval(spark, d):
+    """Item-rate model: trained, stored, restored for VALID and again for TEST, which continues from VALID."""
+    rows = Kt1(spark, d).prepared.withColumn("metric_mask", F.lit(True))
+    roles, path = [("train", "train"), ("valid", "valid"), ("test", "test")], scratch_path(spark, "checkpoint")
+    valid = workflows.run_fitted_model(rows, ItemRateModel, roles[:2], path)
+    test = workflows.evaluate_fitted_model(rows, ItemRateModel, roles, path, valid.trace_hash)
+    both = valid.predictions.unionByName(test.predictions)
+    return both.select("interaction_id", "split", rounded("probability").alias("probability"))

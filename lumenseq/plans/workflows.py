@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from lumenseq.operators import splits as P
 from lumenseq.operators import validate as L
 from lumenseq.operators import vocab as V
 from lumenseq.operators.fit import train
+from lumenseq.operators.fitted import FittedModel, check_fitted, table_digest
 from lumenseq.operators.layout import ordinal
 from lumenseq.operators.models import B_LR, ETA_R, L2, THETA_LR, AbilityModel, BundleModel, ResidualModel, check_model
 from lumenseq.operators.windows import runs
@@ -84,7 +86,7 @@ def prepare_kt1(spark: SparkSession, raw_dir: str, questions: str, out: str, pil
     population = files.kt1_user_ids(spark, raw_dir)
     chosen = A.seeded_sample(population, "user_id", *pilot).select("user_id") if pilot else population
     chosen = cut_lineage(chosen)
-    raw = files.read_kt1_user_dir(spark, raw_dir).join(chosen, "user_id", "left_semi").withColumn("seq", F.col("source_row"))
+    raw = files.read_kt1_user_dir(spark, raw_dir, chosen if pilot else None).withColumn("seq", F.col("source_row"))
     marked = cut_lineage(C.kt1_drop_reason(raw, files.read_questions(spark, questions)))
     canonical = C.kt1_to_canonical(C.eligible(marked))
     labelled = ordinal(P.solving_split(canonical), ["learner_id", "order"], "seq")
@@ -244,7 +246,7 @@ class UserRun:
     predictions: DataFrame
     metrics: dict
     trace_hash: list[dict]
-    states: DataFrame
+    states: DataFrame | None
     identity: dict | None = None
 
 
@@ -298,6 +300,77 @@ def run_user_directory(spark: SparkSession, directory: str, model: BundleModel)
     return run
 
 
+def _stored_checkpoint(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """Tables of a stored checkpoint and its document; a table that no longer has its digest is an error."""
+    document = sinks.read_json(spark, f"{path}/checkpoint.json")
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in document["tables"]}
+    for name, table in tables.items():
+        if table_digest(table) != document["tables"][name]:
+            raise WorkflowError(f"checkpoint table {name!r} differs from the one that training stored")
+    return document, tables
+
+
+def _fitted_phase(spark: SparkSession, build: Callable[[], FittedModel], path: str, rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """Predictions of ``scored`` by a fresh model over ``rows`` from the stored checkpoint, which must be the same before and after."""
+    document, tables = _stored_checkpoint(spark, path)
+    model = build()
+    if model.metadata != document["metadata"]:
+        raise WorkflowError(f"checkpoint was trained by {document['metadata']}, not by {model.metadata}")
+    found = cut_lineage(model.replay(rows, tables).select("seq", "interaction_id", "probability"))
+    _stored_checkpoint(spark, path)
+    foreign = found.join(rows.select("seq"), "seq", "left_anti")
+    _require_empty(foreign, "predictions of rows that were not given")
+    found = found.join(scored.select("seq"), "seq", "left_semi")
+    _require_empty(align.misaligned(scored.select("seq", "interaction_id"), found.select("seq", "interaction_id")), "misaligned predictions")
+    off = ~F.coalesce(F.col("probability").between(0.0, 1.0), F.lit(False)) | F.isnan("probability")
+    _require_empty(found.where(off), "probabilities outside 0 to 1")
+    return scored.select("seq", "split", "correct", "metric_mask").join(found, "seq")
+
+
+def run_fitted_model(rows: DataFrame, build: Callable[[], FittedModel], roles: list[tuple[str, str]], path: str,
+                     oov_semantics: str | None = None) -> UserRun:
+    """Train on TRAIN, store the checkpoint under ``path``, replay VALID twice, each time by a fresh model from storage.
+
+    ``build`` makes a new model, so nothing but the checkpoint passes from training to replay. Both replays must agree, and the
+    tables must have the digests that training stored.
+    """
+    spark, model = rows.sparkSession, build()
+    check_fitted(model, oov_semantics)
+    fitting, scoring = P.role_rows(rows, roles, "train"), P.role_rows(rows, roles, "valid")
+    held_out = [s for s, r in roles if r == "test"]
+    if held_out:
+        _require_empty(V.leaked_learners(fitting.unionByName(scoring), P.role_rows(rows, roles, "test")), "TEST ids in fitting rows")
+    digests = {}
+    for name, table in model.train(fitting).items():
+        table.write.parquet(f"{path}/{name}")
+        digests[name] = table_digest(spark.read.parquet(f"{path}/{name}"))
+    sinks.write_json(spark, f"{path}/checkpoint.json", {"metadata": model.metadata, "tables": digests})
+    first, second = (_fitted_phase(spark, build, path, scoring, scoring) for _ in range(2))
+    hashes = [_trace_hash(p) for p in (first, second)]
+    if hashes[0] != hashes[1]:
+        raise WorkflowError(f"VALID replay from the checkpoint differs: {hashes[0]} against {hashes[1]}")
+    return UserRun(first, _scores(first), hashes[0], None)
+
+
+def evaluate_fitted_model(rows: DataFrame, build: Callable[[], FittedModel], roles: list[tuple[str, str]], path: str,
+                      expected_trace: list[dict], phase_state: str = "carry") -> UserRun:
+    """TEST from the stored checkpoint: VALID is replayed first and must give ``expected_trace``; no job reads TEST rows before that.
+
+    ``phase_state`` ``carry`` replays VALID and TEST in one pass, so TEST continues from what VALID left; ``independent`` starts
+    TEST from the checkpoint alone.
+    """
+    if phase_state not in ("carry", "independent"):
+        raise ValueError(f"phase_state must be carry or independent, got {phase_state!r}")
+    check_fitted(build())
+    spark, valid = rows.sparkSession, P.role_rows(rows, roles, "valid")
+    again = _trace_hash(_fitted_phase(spark, build, path, valid, valid))
+    if again != expected_trace:
+        raise WorkflowError(f"VALID replay gate failed: {again} against {expected_trace}")
+    test = P.role_rows(rows, roles, "test")
+    found = _fitted_phase(spark, build, path, valid.unionByName(test) if phase_state == "carry" else test, test)
+    return UserRun(found, _scores(found), _trace_hash(found), None)
+
+
 def inspect_canonical(rows: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, dict]:
     """Model-free replay of the bundle pre-state with optional whole-bundle cap, and its counts."""
     _require_empty(L.validate(rows).drop("message"), "invalid dataset")

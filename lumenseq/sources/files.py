@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +34,29 @@ DECLARATION_VERSIONS = {
 }
 
 
+#: Up to so many files are named in a scan, which then opens no others; beyond it all are read and joined with the list.
+NAMED_FILES = 10_000
+
+
 class SourceError(ValueError):
     """An input file breaks the format it declares."""
 
 
-def numbered_lines(spark: SparkSession, path: str, glob: str | None = None, skip_blank: bool = False) -> DataFrame:
+def _text(spark: SparkSession, path: str, glob: str | None, names: Sequence[str] | None) -> DataFrame:
+    """Text lines; with ``names`` only files of these names are listed for the scan."""
+    reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+    lines = reader.text(path)
+    return lines if names is None else lines.where(F.col("_metadata.file_name").isin(list(names)))
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None, skip_blank: bool = False,
+                   names: Sequence[str] | None = None) -> DataFrame:
     """Lines with ``file`` and 0-based ``line`` inside the file, without a shuffle.
 
     A line's place in its file block comes from the scan order; block starts are
     ordered by their byte offset. Only one row per file block is aggregated.
     """
-    reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
-    lines = reader.text(path).select(
+    lines = _text(spark, path, glob, names).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")
     )
     if skip_blank:
@@ -57,40 +70,50 @@ def numbered_lines(spark: SparkSession, path: str, glob: str | None = None, skip
     )
 
 
-def csv_rows(spark: SparkSession, path: str, required: tuple[str, ...], glob: str | None = None) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, required: tuple[str, ...], glob: str | None = None,
+             names: Sequence[str] | None = None) -> DataFrame:
     """CSV records as text columns plus ``file`` and the 0-based data row ``source_row``.
 
-    All files share one header. Records with a line break inside quotes are
-    refused because the reader is line based.
+    All files share one header: it is read from the start of one file, and the scan
+    that reads the rows holds every other file's header against it. Records with a
+    line break inside quotes are refused because the reader is line based.
     """
-    lines = numbered_lines(spark, path, glob, skip_blank=True)
-    headers = [r[0] for r in lines.where("line = 0").select("value").distinct().limit(2).collect()]
-    if not headers:
+    top = _text(spark, path, glob, names).where((F.col("_metadata.file_block_start") == 0) & (F.col("value") != "")).first()
+    if top is None:
         raise SourceError(f"{path}: CSV has no header")
-    if len(headers) > 1:
-        raise SourceError(f"{path}: files have different headers")
-    probe = spark.range(1).select(F.split(F.regexp_replace(F.lit(headers[0]), '"', ""), ",").alias("h")).first()[0]
-    names = [h.strip() for h in probe]
-    missing = [c for c in required if c not in names]
+    header = top["value"]
+    columns = [h.strip() for h in next(csv.reader([header]))]
+    missing = [c for c in required if c not in columns]
     if missing:
-        raise SourceError(f"{path}: CSV lacks columns {missing}; got {names}")
+        raise SourceError(f"{path}: CSV lacks columns {missing}; got {columns}")
+    lines = numbered_lines(spark, path, glob, skip_blank=True, names=names)
+    other = F.raise_error(F.concat(F.col("file"), F.lit(" has another header: "), F.col("value"))).cast("boolean")
+    lines = lines.where(F.when(F.col("line") > 0, F.lit(True)).when(F.col("value") == header, F.lit(False)).otherwise(other))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    body = lines.where("line > 0").withColumn(
+    body = lines.withColumn(
         "value",
         F.when(quotes % 2 == 1, F.raise_error(F.concat(F.lit("quoted line break at line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"))).cast("string"))
         .otherwise(F.col("value")),
     )
-    schema = ", ".join(f"`{n}` string" for n in names)
+    schema = ", ".join(f"`{n}` string" for n in columns)
     parsed = body.select("file", (F.col("line") - 1).alias("source_row"), F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("_r"))
     return parsed.select("file", "source_row", *[F.col("_r")[c].alias(c) for c in required],
-                         *[F.col("_r")[c].alias(c) for c in names if c not in required])
+                         *[F.col("_r")[c].alias(c) for c in columns if c not in required])
 
 
-def read_kt1_user_dir(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV per learner; the learner id is the file stem, ``source_row`` its row index."""
-    rows = csv_rows(spark, path, KT1_USER_COLUMNS, glob="u*.csv")
+def read_kt1_user_dir(spark: SparkSession, path: str, learners: DataFrame | None = None) -> DataFrame:
+    """One CSV per learner; the learner id is the file stem, ``source_row`` its row index.
+
+    With ``learners`` (``user_id``) only their rows: up to NAMED_FILES of them are named in the scan, so other files are not opened.
+    """
+    names = None
+    if learners is not None:
+        some = learners.select("user_id").limit(NAMED_FILES + 1).collect()
+        names = [f"{r[0]}.csv" for r in some] if len(some) <= NAMED_FILES else None
+    rows = csv_rows(spark, path, KT1_USER_COLUMNS, glob="u*.csv", names=names)
     stem = F.regexp_extract("file", r"([^/]+)\.csv$", 1)
-    return rows.select(stem.alias("user_id"), "source_row", *KT1_USER_COLUMNS)
+    rows = rows.select(stem.alias("user_id"), "source_row", *KT1_USER_COLUMNS)
+    return rows if learners is None or names is not None else rows.join(learners.select("user_id"), "user_id", "left_semi")
 
 
 def kt1_user_ids(spark: SparkSession, path: str) -> DataFrame:

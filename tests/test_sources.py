@@ -292,3 +292,67 @@ def test_prepared_scan_refuses_a_foreign_split(spark, tmp_path):
     rows.withColumn("split", F.when(F.col("seq") == 3, "spare").otherwise(F.col("split"))).write.partitionBy("split").parquet(str(tmp_path / "bad"))
     with pytest.raises(files.SourceError, match="foreign split 'spare'"):
         files.read_prepared(spark, str(tmp_path / "bad"), "test")
+
+
+def test_csv_headers_and_named_files(spark, tmp_path, monkeypatch):
+    raw, _ = kt1_dir(tmp_path)
+    every = files.read_kt1_user_dir(spark, raw)
+    learners = every.select("user_id").distinct().orderBy("user_id").limit(2)
+    want = sorted(map(tuple, every.join(learners, "user_id", "left_semi").collect()))
+    chosen = files.read_kt1_user_dir(spark, raw, learners)
+    assert sorted(map(tuple, chosen.collect())) == want and want
+    assert "PartitionFilters: [" in chosen._jdf.queryExecution().toString() or "file_name" in chosen._jdf.queryExecution().toString()
+    monkeypatch.setattr(files, "NAMED_FILES", 1)
+    assert sorted(map(tuple, files.read_kt1_user_dir(spark, raw, learners).collect())) == want
+    assert files.read_kt1_user_dir(spark, raw, learners.limit(1)).select("user_id").distinct().count() == 1
+    (tmp_path / "raw2").mkdir()
+    (tmp_path / "raw2" / "u1.csv").write_text(HEADER + "1,1,q1,a\n")
+    (tmp_path / "raw2" / "u2.csv").write_text("\n" + HEADER.replace("timestamp", "time") + "1,1,q1,a\n")
+    with pytest.raises(Exception, match="another header|lacks columns"):
+        files.read_kt1_user_dir(spark, str(tmp_path / "raw2")).collect()
+    (tmp_path / "empty.csv").write_text("\n\n")
+    with pytest.raises(files.SourceError, match="no header"):
+        files.read_kt1_csv(spark, str(tmp_path / "empty.csv"))
+
+
+def test_fitted_model_checkpoint(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from lumenseq.operators.fitted import ItemRateModel, table_digest
+
+    roles = [("train", "train"), ("valid", "valid"), ("test", "test")]
+    rows = spark.range(60).select(
+        F.col("id").alias("seq"), F.concat(F.lit("i"), F.col("id")).alias("interaction_id"),
+        F.concat(F.when(F.col("id") < 40, "a").otherwise("z"), (F.col("id") % 3).cast("string")).alias("learner_id"),
+        F.concat(F.lit("b"), F.col("id")).alias("bundle_id"), F.concat(F.lit("q"), F.col("id") % 7).alias("item_id"), (F.col("id") % 2).alias("correct"),
+        F.lit(True).alias("metric_mask"), F.when(F.col("id") < 30, "train").when(F.col("id") < 40, "valid").otherwise("test").alias("split"))
+    path = str(tmp_path / "checkpoint")
+    run = workflows.run_fitted_model(rows, ItemRateModel, roles, path)
+    assert run.metrics["n"] == 10 and run.predictions.count() == 10
+    test = workflows.evaluate_fitted_model(rows, ItemRateModel, roles, path, run.trace_hash)
+    assert test.metrics["n"] == 20
+    with pytest.raises(workflows.WorkflowError, match="gate"):
+        workflows.evaluate_fitted_model(rows, ItemRateModel, roles, path, [])
+
+    class Writes(ItemRateModel):
+        def replay(self, rows, checkpoint):
+            found = super().replay(rows, checkpoint)
+            spark.createDataFrame([("q99", 1.0)], "item_id string, b double").write.mode("append").parquet(f"{path}2/items")
+            return found
+
+    class Short(ItemRateModel):
+        def replay(self, rows, checkpoint):
+            return super().replay(rows, checkpoint).where("seq % 5 <> 0")
+
+    with pytest.raises(workflows.WorkflowError, match="misaligned"):
+        workflows.run_fitted_model(rows, Short, roles, path + "1")
+    with pytest.raises(workflows.WorkflowError, match="checkpoint table 'items' differs"):
+        workflows.run_fitted_model(rows, Writes, roles, path + "2")
+    # a table changed after VALID blocks TEST; the same rows in another order and layout do not
+    stored = spark.createDataFrame(spark.read.parquet(f"{path}/items").collect())
+    digest = table_digest(stored)
+    stored.orderBy(F.desc("item_id")).repartition(3).write.mode("overwrite").parquet(f"{path}/items")
+    assert table_digest(spark.read.parquet(f"{path}/items")) == digest
+    assert workflows.evaluate_fitted_model(rows, ItemRateModel, roles, path, run.trace_hash, "independent").metrics["n"] == 20
+    stored.withColumn("b", F.when(F.col("item_id") == "q3", 9.0).otherwise(F.col("b"))).write.mode("overwrite").parquet(f"{path}/items")
+    with pytest.raises(workflows.WorkflowError, match="checkpoint table 'items' differs"):
+        workflows.evaluate_fitted_model(rows, ItemRateModel, roles, path, run.trace_hash)
