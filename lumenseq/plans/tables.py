@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenseq.functions import scalars as S
 from lumenseq.operators import cleaning as C
 from lumenseq.operators import splits as P
 from lumenseq.operators import vocab as V
@@ -65,19 +66,33 @@ class Kt1:
     def catalog(self) -> DataFrame:
         return C.question_catalog(self.questions)
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """The catalog entries that the log names, written once.
+
+        Rows are joined to this table by its measured size: a log that names few items of a large catalog is not shuffled by them.
+        """
+        named = self._events.select(F.expr(S.cell_sql("question_id")).alias("question_id")).distinct()
+        return cut_lineage(self.catalog.join(named, "question_id", "left_semi"))
+
     @cached_property
     def marked(self) -> DataFrame:
-        return C.kt1_drop_reason(self.raw, self.catalog)
+        return C.kt1_drop_reason(self.raw, self.asked)
 
     @cached_property
     def canonical(self) -> DataFrame:
         """Eligible canonical rows; ``seq`` is the raw source position."""
         return C.kt1_to_canonical(C.eligible(self.marked), self.hot)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The canonical rows written once; numbering and splits read them several times, their columns only."""
+        return cut_lineage(self.canonical)
+
     @cached_property
     def contiguous(self) -> DataFrame:
         """Canonical rows with ``seq`` renumbered learner by learner (numeric user order)."""
-        rows = self.canonical.withColumn("_user", F.substring("learner_id", 2, 20).cast("long"))
+        rows = self.stored.withColumn("_user", F.substring("learner_id", 2, 20).cast("long"))
         sizes = rows.groupBy("_user").agg(F.count(F.lit(1)).alias("_n"))
         offsets = prefix_by_int(sizes, "_user", F.col("_n"), "_offset").select("_user", "_offset")
         joined = rows.join(offsets, "_user")
@@ -89,7 +104,7 @@ class Kt1:
     @cached_property
     def dense(self) -> DataFrame:
         """Canonical rows in source order with ``seq`` renumbered without gaps."""
-        return densify(self.canonical, "seq")
+        return densify(self.stored, "seq")
 
     @cached_property
     def split(self) -> DataFrame:

@@ -259,3 +259,17 @@ def test_current_label_never_changes_its_own_score(spark):
     assert all(base[s] == flipped[s] for s in bundle) and base != flipped
     none = score(df.withColumn("tag_idxs", F.array().cast("array<bigint>")))
     assert none == base
+
+
+def test_canonical_rows_are_made_once_and_joined_to_the_items_they_name(spark, tmp_path):
+    """Splits and numbers come from stored rows, not from the raw log again; catalog entries that no row names stay out of the join."""
+    from lumenseq.plans.tables import Kt1
+
+    data = "/root/testdata/sf0.001"
+    for name in ("events", "part"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    k = Kt1(spark, str(tmp_path))
+    assert not [f for f in k.split.inputFiles() if "/events.parquet/" in f]
+    named = {r[0] for r in k._events.select("question_id").distinct().collect()}
+    whole = {r["question_id"] for r in k.catalog.collect()}
+    assert {r["question_id"] for r in k.asked.collect()} == named & whole < whole
