@@ -224,16 +224,17 @@ def densify(df: DataFrame, order: str = "seq") -> DataFrame:
     return numbered.withColumn(order, F.col("_dense")).drop("_dense")
 
 
-def range_layout(df: DataFrame, keys: Sequence[Column | str]) -> tuple[DataFrame, DataFrame]:
+def range_layout(df: DataFrame, keys: Sequence[Column | str], columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Range-partition and sort by a total order; return rows and partition sizes.
 
     The rows gain ``_at_part`` and ``_at_pos``. The layout is written to the
-    shared folder once, so both results describe the same partitions.
+    shared folder once, so both results describe the same partitions; with
+    ``columns`` only these are written.
     """
     laid = cut_lineage(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_id", F.monotonically_increasing_id())
+        .select(*(df.columns if columns is None else columns), F.monotonically_increasing_id().alias("_id"))
     )
     laid = laid.select(
         *[c for c in laid.columns if c != "_id"],
@@ -243,14 +244,15 @@ def range_layout(df: DataFrame, keys: Sequence[Column | str]) -> tuple[DataFrame
     return laid, laid.groupBy("_at_part").agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def ordinal(df: DataFrame, keys: Sequence[Column | str], name: str = "seq") -> DataFrame:
-    """Dense 0-based index in the total order of ``keys`` (which must be unique)."""
-    laid, sizes = range_layout(df, keys)
+def ordinal(df: DataFrame, keys: Sequence[Column | str], name: str = "seq", columns: Sequence[str] | None = None) -> DataFrame:
+    """Dense 0-based index in the total order of ``keys`` (which must be unique), beside ``columns`` or else all of them."""
+    columns = list(df.columns if columns is None else columns)
+    laid, sizes = range_layout(df, keys, columns)
     before = Window.orderBy("_at_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per physical partition, so this window and broadcast stay tiny.
     offsets = sizes.select("_at_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
     out = laid.join(F.broadcast(offsets), "_at_part")
-    kept = [F.col(c) for c in df.columns if c != name]
+    kept = [F.col(c) for c in columns if c != name]
     return out.select(*kept, (F.col("_off") + F.col("_at_pos")).alias(name))
 
 

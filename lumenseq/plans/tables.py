@@ -117,25 +117,28 @@ class Kt1:
 
 
 def tutor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-attempt tutor log shape from orders, lineitem and part, as text columns."""
-    orders = table(spark, sf_dir, "orders")
-    items = table(spark, sf_dir, "lineitem")
-    parts = table(spark, sf_dir, "part")
-    joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).join(
-        parts, items["l_partkey"] == parts["p_partkey"]
-    )
-    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ))")
-    rows = joined.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+    """First-attempt tutor log shape from orders, lineitem and part, as text columns.
+
+    Rows are joined and numbered with narrow values; the text is made of them afterwards.
+    """
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    # both unknown when their source is, so that ``otherwise`` below decides as it would on the source itself
+    items = table(spark, sf_dir, "lineitem").select(*keys, (F.col("l_returnflag") == "R").alias("_wrong"))
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ))").alias("_seconds"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_type") == "PROMO", "").otherwise(F.col("p_brand")).alias("skill_id"))
+    joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).join(parts, items["l_partkey"] == parts["p_partkey"])
+    rows = joined.select(*keys, "o_custkey", "skill_id", "_wrong", "_seconds")
+    numbered = ordinal(rows, keys, "source_row", ["l_partkey", "l_linenumber", "o_custkey", "skill_id", "_wrong", "_seconds"])
+    return numbered.select(
         F.col("o_custkey").cast("string").alias("student_id"),
         F.col("l_partkey").cast("string").alias("problem_id"),
-        F.when(F.col("p_type") == "PROMO", "").otherwise(F.col("p_brand")).alias("skill_id"),
-        F.when(F.col("l_returnflag") == "R", "0").otherwise("1").alias("correct"),
-        seconds.cast("string").alias("timestamp"),
+        "skill_id",
+        F.when(F.col("_wrong"), "0").otherwise("1").alias("correct"),
+        F.col("_seconds").cast("string").alias("timestamp"),
         F.when(F.col("l_linenumber") > 6, "2").otherwise("1").alias("attempt_count"),
+        "source_row",
     )
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    return ordinal(rows, keys, "source_row").drop(*keys)
 
 
 @dataclass

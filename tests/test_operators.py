@@ -273,3 +273,11 @@ def test_canonical_rows_are_made_once_and_joined_to_the_items_they_name(spark, t
     named = {r[0] for r in k._events.select("question_id").distinct().collect()}
     whole = {r["question_id"] for r in k.catalog.collect()}
     assert {r["question_id"] for r in k.asked.collect()} == named & whole < whole
+
+
+def test_ordinal_writes_the_named_columns_only(spark):
+    df = spark.createDataFrame([(c, 9 - c, str(c)) for c in (5, 1, 7, 3)], "a long, b long, t string")
+    numbered = ordinal(df, ["a"], "n", ["t"])
+    assert sorted(tuple(r) for r in numbered.collect()) == [("1", 0), ("3", 1), ("5", 2), ("7", 3)]
+    written = spark.read.parquet(*numbered.inputFiles()[:1])
+    assert set(written.columns) == {"t", "_id"}
