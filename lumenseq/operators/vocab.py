@@ -71,10 +71,14 @@ def encode_kcs(df: DataFrame, vocab: DataFrame, kc: str = "kc_ids", out: str = "
     return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
 
 
+def group_table(df: DataFrame, key: list[str], name: str = "group_id") -> DataFrame:
+    """Dense id of each distinct key in sorted order."""
+    return ordinal(df.select(*key).distinct(), key, name)
+
+
 def group_ids(df: DataFrame, key: list[str], name: str = "group_id") -> DataFrame:
     """Dense id of the sorted distinct key, joined back to the rows."""
-    table = ordinal(df.select(*key).distinct(), key, name)
-    return df.join(table, key)
+    return df.join(group_table(df, key, name), key)
 
 
 def fill_group_ids(df: DataFrame, key: list[str], existing: str = "group_id", order: str = "seq") -> DataFrame:

@@ -308,9 +308,12 @@ h AS (SELECT c.seq, c.student_id, c.ts, CASE WHEN c.split <> 'test' THEN g.gid E
 f AS (SELECT student_id, ts, row_number() OVER (ORDER BY min(seq)) + (SELECT max(gid) FROM h) AS fresh FROM h WHERE gid IS NULL GROUP BY student_id, ts)
 SELECT h.seq, coalesce(h.gid, f.fresh) AS group_id FROM h LEFT JOIN f USING (student_id, ts)""")
 def group_ids_filled(spark, d):
-    rows = Tutor(spark, d).closed
-    fitted = V.group_ids(V.fitted_rows(rows), ["student_id", "timestamp"]).select("seq", "group_id")
-    return V.fill_group_ids(rows.join(fitted, "seq", "left"), ["student_id", "timestamp"]).select("seq", "group_id")
+    key = ["student_id", "timestamp"]
+    rows = Tutor(spark, d).closed.select("seq", *key, "split")
+    # by the key alone, as the fresh ids are: rows are shuffled once
+    named = rows.join(V.group_table(V.fitted_rows(rows), key), key, "left")
+    named = named.withColumn("group_id", F.when(F.col("split").isin(*V.FITTED), F.col("group_id")))
+    return V.fill_group_ids(named, key).select("seq", "group_id")
 
 
 @query("oov_counts", TUTOR + """
