@@ -26,7 +26,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word shingles of similarity 0.8 or more: the smallest id, or text hash without one."""
+    """One document of each group of near copies, five-word shingles of similarity 0.8 or more: the smallest id, or text hash without one.
+
+    Fingerprints within two bits, then shared MinHash keys find the candidates; the shingle sets decide.
+    """
     return _near_copies.representatives(docs)
 
 

@@ -1,7 +1,9 @@
-"""Near copies by word shingles: banded MinHash finds candidates, the shingle sets themselves decide.
+"""Near copies by word shingles: SimHash and banded MinHash find candidates, the shingle sets themselves decide.
 
 Two texts are near copies when the Jaccard similarity of their sets of word shingles is at least 0.8. Texts with equal sets are
-one class. A class has ``BANDS`` keys of ``BAND_ROWS`` minimum hashes each; classes of similarity s share a key with probability
+one class. Classes whose SimHash fingerprints lie within two bits are candidates first, found tile by tile
+(``simhash.near_links``). Two bits are few at a similarity of 0.8, so MinHash finds the links beyond them: a class has ``BANDS``
+keys of ``BAND_ROWS`` minimum hashes each; classes of similarity s share a key with probability
 1 - (1 - s**BAND_ROWS)**BANDS, which is 0.999995 at 0.8. Every pair that shares a key is settled: it is compared exactly unless
 both are joined already. Two rounds against one class of each key come first, so that a large group of near copies is joined in
 links as many as its members. Classes that still share a key with one of another group are then put into clusters by shared
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenseq.llm.common import row_key, texts_in_slices, whole
 from lumenseq.llm.components import stars
-from lumenseq.llm.simhash import SEED, forest, shingle_hashes
+from lumenseq.llm.simhash import SEED, forest, majority, near_links, shingle_hashes
 from lumenseq.session import cut_lineage
 
 WORDS_EACH = 5
@@ -53,23 +55,24 @@ def _class(hashes: np.ndarray) -> int:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """``row, class, size, bands`` of rows with ``row`` and ``text``."""
+    """``row, class, size, fp, bands`` of rows with ``row`` and ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, bands = [], [], []
+            names, sizes, prints, bands = [], [], [], []
             for _, texts in texts_in_slices(batch):
                 for text in texts:
                     found = shingle_set(text)
                     names.append(_class(found))
                     sizes.append(len(found))
+                    prints.append(majority(found))
                     bands.append(band_keys(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["row", "class", "size", "bands"])
+                [batch.column("row"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, dtype="u8").view("i8")),
+                 pa.array(bands, pa.list_(pa.int64()))], ["row", "class", "size", "fp", "bands"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text").mapInArrow(run, f"row {kind}, class long, size long, bands array<long>")
+    return rows.select("row", "text").mapInArrow(run, f"row {kind}, class long, size long, fp long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -129,18 +132,34 @@ def _close_in_clusters(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return blocks.join(sets, "class").groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
 
 
+#: Sizes that a similarity of 0.8 allows for ``class`` and ``with``, and the two in order.
+SIMILAR_SIZE = "5 * least(size, other) >= 4 * greatest(size, other)"
+ORDERED = "least(class, with) AS a", "greatest(class, with) AS b"
+
+
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """``a, b``: one class of each fingerprint with the others of it, and with one of each fingerprint that a tile links to it."""
+    prints = classes.where("size > 0").select("class", "size", "fp")
+    first = cut_lineage(prints.groupBy("fp").agg(F.min(F.struct("class", "size")).alias("p")))
+    same = prints.join(first, "fp").select("class", "size", F.col("p.class").alias("with"), F.col("p.size").alias("other"))
+    left, right = (first.select(F.col("fp").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
+    near = near_links(first.select("fp")).distinct().join(left, "a").join(right, "b").select(
+        F.col("pa.class").alias("class"), F.col("pa.size").alias("size"), F.col("pb.class").alias("with"), F.col("pb.size").alias("other"))
+    return cut_lineage(same.union(near).where("class <> with").where(SIMILAR_SIZE).selectExpr(*ORDERED).distinct())
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``class, row`` with the least row of each class, and ``class, root`` of the classes joined to a smaller one."""
     rows = docs.select(row_key().alias("row"), whole().alias("text"))
-    classes = cut_lineage(_classes(rows)).groupBy("class").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = cut_lineage(_classes(rows)).groupBy("class").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     classes = cut_lineage(classes)
     keyed = classes.select("class", "size", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     buckets = cut_lineage(keyed.join(shared, "band"))
-    wanted = buckets.select("class").distinct().join(classes.select("class", "row"), "class").select("row")
+    likely = _by_fingerprint(classes)
+    named = buckets.select("class").union(likely.select("a")).union(likely.select("b")).distinct()
+    wanted = named.join(classes.select("class", "row"), "class").select("row")
     sets = cut_lineage(_sets(rows.join(wanted, "row", "left_semi").dropDuplicates(["row"])))
-    similar_size = F.expr("5 * least(size, other) >= 4 * greatest(size, other)")
-    ordered = F.least("class", "with").alias("a"), F.greatest("class", "with").alias("b")
 
     def open_buckets(roots: DataFrame) -> DataFrame:
         """Rows of the buckets whose classes are not all joined, with their roots."""
@@ -148,15 +167,14 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         several = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
         return cut_lineage(named.join(several, "band"))
 
-    spark = docs.sparkSession
-    roots, links = spark.createDataFrame([], "class long, root long"), None
+    links = cut_lineage(_close(likely, sets))
+    roots = cut_lineage(stars(links).select(F.col("a").alias("class"), F.col("b").alias("root")))
     for turn in range(2):  # one class of each bucket against the others
         rest = open_buckets(roots)
         pivot = rest.groupBy("band").agg(F.min_by(F.struct("class", "size", "root"), F.xxhash64("class", F.lit(turn))).alias("p"))
         other = pivot.select("band", F.col("p.class").alias("with"), F.col("p.size").alias("other"), F.col("p.root").alias("other_root"))
-        pairs = rest.join(other, "band").where("root <> other_root").where(similar_size).select(*ordered).distinct()
-        found = cut_lineage(_close(pairs, sets))
-        links = found if links is None else links.union(found)
+        pairs = rest.join(other, "band").where("root <> other_root").where(SIMILAR_SIZE).selectExpr(*ORDERED).distinct()
+        links = links.union(cut_lineage(_close(pairs, sets)))
         roots = cut_lineage(stars(links).select(F.col("a").alias("class"), F.col("b").alias("root")))
     links = links.union(cut_lineage(_close_in_clusters(open_buckets(roots), sets)))
     roots = cut_lineage(stars(links).select(F.col("a").alias("class"), F.col("b").alias("root")))

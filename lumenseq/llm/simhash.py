@@ -36,9 +36,8 @@ def shingle_hashes(text: str, words_each: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*shifted, strict=False)), dtype="<u8")
 
 
-def fingerprint(text: str, words_each: int = 3) -> int:
-    """Bits set in over half the shingles' XXH64; zero for a text without words."""
-    hashes = shingle_hashes(text, words_each)
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes; zero without any."""
     if not len(hashes):
         return 0
     votes = np.zeros(64, dtype="i8")
@@ -47,6 +46,11 @@ def fingerprint(text: str, words_each: int = 3) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words_each: int = 3) -> int:
+    """Bits set in over half the shingles' XXH64; zero for a text without words."""
+    return majority(shingle_hashes(text, words_each))
+
+
 def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
     """``doc_id, fp`` with the fingerprint's 64 bits as a long."""
 

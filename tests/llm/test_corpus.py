@@ -385,3 +385,16 @@ def test_warm_token_cache_keeps_what_a_slice_needs():
     cache = word_bpe.IdCache(word_bpe.default_path(), entries=3)
     for text in ("alpha beta", "alpha gamma delta epsilon zeta", "beta alpha"):
         assert cache.encode([text])[0].tolist() == tokens(text)
+
+
+def test_fingerprints_give_candidates_that_the_sets_decide(spark):
+    """Candidates within two bits come from SimHash, before any MinHash key is read."""
+    words = [f"s{k}" for k in range(900)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(reversed(words))]
+    prints = [simhash.majority(near_copies.shingle_set(t)) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    keys = near_copies._by_fingerprint(near_copies._classes(table(spark, list(enumerate(texts))).selectExpr("doc_id AS row", "text")))
+    a, b = (near_copies._class(near_copies.shingle_set(t)) for t in texts[:2])
+    assert [tuple(r) for r in keys.collect()] == [(min(a, b), max(a, b))]
+    links = near_copies.near_copies(table(spark, list(enumerate(texts))))[1]
+    assert [(r["class"], r["root"]) for r in links.collect()] == [(max(a, b), min(a, b))]
