@@ -172,26 +172,24 @@ class Scorer:
         return out, sure
 
 
-def _named(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Two structs: ``doc`` with all columns of ``docs``, ``found`` with ``lang_pred, score, rejected``."""
+def _found(docs: DataFrame, model: Model | None) -> Column:
+    """A struct ``lang_pred, score, rejected`` of each ``text``; no other column goes to Python, and no text comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: hashed rows times languages
-    rows = docs.select(F.struct("*").alias("doc"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
             best, sure = [], []
-            for _, texts in texts_in_slices(pa.RecordBatch.from_arrays([batch.column("doc").field("text")], ["text"])):
+            for _, texts in texts_in_slices(pa.RecordBatch.from_arrays([batch], ["text"])):
                 a, b = scorer.score(texts) if scorer else (np.full(len(texts), -1), np.zeros(len(texts)))
                 best += a.tolist()
                 sure += b.tolist()
             lang = [scorer.model.languages[i] if i >= 0 else UNKNOWN for i in best]
             out = [i < 0 or p < scorer.model.least for i, p in zip(best, sure, strict=True)]
-            found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], ["lang_pred", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), found], ["doc", "found"])
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], ["lang_pred", "score", "rejected"])
 
-    schema = rows.limit(0).withColumn("found", F.expr("named_struct('lang_pred', '', 'score', 0D, 'rejected', true)")).schema
-    return rows.mapInArrow(run, schema)
+    return found(F.col("text"))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -201,9 +199,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     learned. Any other text gets a learned language; it is rejected where its calibrated probability is below the model's
     bound. Long texts are read whole; repeated rows each get a row; an empty table gives no rows.
     """
-    return _named(docs.drop("_language"), model).select("doc.*", F.col("found").alias("_language"))
+    docs = docs.drop("_language")
+    return docs.select("*", _found(docs, model).alias("_language"))
 
 
 def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns as they are, whatever their names."""
-    return _named(docs, model).where("NOT found.rejected").select("doc.*")
+    return docs.where(~_found(docs, model)["rejected"])

@@ -398,3 +398,10 @@ def test_fingerprints_give_candidates_that_the_sets_decide(spark):
     assert [tuple(r) for r in keys.collect()] == [(min(a, b), max(a, b))]
     links = near_copies.near_copies(table(spark, list(enumerate(texts))))[1]
     assert [(r["class"], r["root"]) for r in links.collect()] == [(max(a, b), min(a, b))]
+
+
+def test_language_reads_texts_only(spark):
+    """Texts do not come back from Python, nor does any other column go there."""
+    docs = table(spark, [(i, f"word and word {i}") for i in range(40)])
+    plan = language_id.recognised(docs, language_id.fit(docs, F.lit(True)))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
