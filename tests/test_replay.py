@@ -125,6 +125,41 @@ def test_training_hot_keys(spark):
         assert out[x["seq"]]["p_global"] == pytest.approx(want[x["seq"]]["p_global"], abs=1e-11)
 
 
+def test_training_of_one_slice_is_one_pass(spark):
+    """A short log is one slice, and a slice is one ordered pass; sweeps by learner and by item took several."""
+    rows = log(n=120)
+    _, _, b, _ = serial_pass(rows, train=True)
+    fit = train(frame(spark, rows).drop("b"))
+    assert fit.sweeps == 1
+    assert {i["item_id"]: i["b"] for i in fit.difficulty.collect()} == pytest.approx(b, abs=1e-14)
+
+
+@pytest.mark.parametrize("contiguous,physical", [(True, True), (False, True), (False, False)])
+def test_training_in_slices(spark, contiguous, physical):
+    """Twelve slices of ten rows, with learners and items that cross them, initial states and numbered items."""
+    from lumenseq.session import HOT_ROWS_SETTING
+    rows = log(n=120, contiguous=contiguous)
+    theta, b = {"u0": 0.4, "u1": -0.3}, {"q0": 0.2, "q3": -0.5, "q99": 1.0}
+    want, _, b_post, _ = serial_pass(rows, theta, b, train=True, physical=physical)
+    number = F.substring("item_id", 2, 9).cast("long").alias("item_id")
+    known = spark.createDataFrame(list(b.items()), "item_id string, b double").select(number, "b")
+    states = spark.createDataFrame([(u, -1, [t], None, None) for u, t in theta.items()], "learner_id string, " + R.STATE_SCHEMA)
+    df = frame(spark, rows).drop("b").withColumn("item_id", number)
+    none = R.hot_keys(df, ["learner_id"])
+    spark.conf.set(HOT_ROWS_SETTING, "10")
+    try:
+        fit = train(df, known, states, physical=physical, learner_hot=none)
+    finally:
+        spark.conf.unset(HOT_ROWS_SETTING)
+    assert 1 < fit.sweeps <= 13
+    seen = {r["seq"]: r["b"] for r in fit.rows.collect()}
+    assert seen == pytest.approx({x["seq"]: want[x["seq"]]["b_pre"] for x in rows}, abs=1e-12)
+    assert {f"q{i['item_id']}": i["b"] for i in fit.difficulty.collect()} == pytest.approx(b_post, abs=1e-12)
+    if physical:
+        out = got(fit.walked)
+        assert all(out[x["seq"]]["p_global"] == pytest.approx(want[x["seq"]]["p_global"], abs=1e-12) for x in rows)
+
+
 @pytest.mark.parametrize("rule", ["token", "skill_mean", None])
 def test_one_huge_bundle(spark, small_hot, rule):
     """A bundle above the threshold is folded to weighted rows and still scored row by row."""
